@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from surfaceloom.llm.mixing import op10_mixing
 from surfaceloom.llm.packing import op1_packing
+from surfaceloom.llm.secrets import op4_secret_scans
+from surfaceloom.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_secret_scans, op10_mixing)}
 ORACLES: dict[str, str] = {}
