@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # so that Spark removes the shuffle files of what no step needs any more
     return spark.read.schema(schema).parquet(path)
 
 
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes of column `text` each; a longer row stands alone."""
-    sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(batch.column("text")).to_pylist()), np.int64, batch.num_rows)
+    sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(batch.column("text")).to_pylist()), np.int64, batch.num_rows)
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:

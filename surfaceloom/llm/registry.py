@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from surfaceloom.llm.jaccard import op5_jaccard_join
 from surfaceloom.llm.mixing import op10_mixing
 from surfaceloom.llm.packing import op1_packing
 from surfaceloom.llm.secrets import op4_secret_scans
+from surfaceloom.llm.substrings import op9_suffix_dedup
 from surfaceloom.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_secret_scans, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_secret_scans, op5_jaccard_join, op9_suffix_dedup, op10_mixing)}
 ORACLES: dict[str, str] = {}
