@@ -14,11 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surfaceloom.shipping import ship
+
 #: Bytes of text that a worker turns into NumPy arrays at once; every array costs eight times as much.
 SLICE_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to a table in the shared folder and reads it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
