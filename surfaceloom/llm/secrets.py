@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfaceloom.llm.common import settle, table
@@ -67,13 +67,18 @@ def _tag(rule: Rule) -> str:
     return f"{rule.kind}/{rule.version}"
 
 
+def address(text: Column) -> Column:
+    """The SHA-256 of a text (null: empty)."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def blobs(history: DataFrame, path: str = "doc_id") -> DataFrame:
-    """path and the SHA-256 of its text (null: empty)."""
-    return history.select(F.col(path).alias("path"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("blob"))
+    """path and the address of its text."""
+    return history.select(F.col(path).alias("path"), address(F.col("text")).alias("blob"))
 
 
 def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> DataFrame:
-    """New ledger rows: blob, rule (kind/version), spans (array of start and end) for every unseen pair of history.
+    """New ledger rows: blob, rules (kind/version, those that were run now) and found (map of rule to starts and ends).
 
     A blob is scanned at one of its paths, whichever sorts first; a null text is an empty blob, a null path a path like
     any other, repeated rows are one blob. Columns other than path and text are ignored; no rows, no ledger rows.
@@ -83,27 +88,25 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     if ledger is None:
         wanted = wanted.withColumn("rules", every)
     else:
-        known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("known"))  # at most one for each rule version
+        known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))  # a blob's rules: as many as there are
         wanted = wanted.join(known, "blob", "left").withColumn("rules", F.array_except(every, F.coalesce("known", F.array().cast("array<string>")))).where(F.size("rules") > 0).drop("known")
-    texts = history.select(F.col(path).alias("path_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob_", F.sha2(F.col("text").cast("binary"), 256))
-    # by path and blob together: the many copies of a blob are spread over all tasks
-    once = texts.join(wanted, F.col("path_").eqNullSafe(F.col("path")) & (F.col("blob_") == F.col("blob"))).select("blob", "rules", "text")
+    texts = history.select(F.col(path).alias("path_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # by path, not by blob: the many copies of a blob are spread over all tasks
+    once = texts.join(wanted, F.col("path_").eqNullSafe(F.col("path"))).where(address(F.col("text")) == F.col("blob")).select("blob", "rules", "text")
     by_tag = {_tag(r): r for r in rules}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for blob, tags, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            found = []
+            for tags, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 lower = text.lower()
-                for tag in tags:
-                    out[0].append(blob)
-                    out[1].append(tag)
-                    out[2].append([x for s in spans_of(by_tag[tag], text, lower) for x in s])
-            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64()))], ["blob", "rule", "spans"])
+                spans = ((tag, [x for s in spans_of(by_tag[tag], text, lower) for x in s]) for tag in tags)
+                found.append([x for x in spans if x[1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.list_(pa.int64())))], ["blob", "rules", "found"])
 
     # of repeated rows one stays
-    return once.mapInArrow(run, "blob string, rule string, spans array<long>").dropDuplicates(["blob", "rule"])
+    return once.mapInArrow(run, "blob binary, rules array<string>, found map<string, array<long>>").groupBy("blob").agg(F.first("rules").alias("rules"), F.first("found").alias("found"))
 
 
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> DataFrame:
@@ -111,9 +114,12 @@ def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RU
 
     Kinds without spans are left out of the map.
     """
+    tags = [_tag(r) for r in rules]
     kinds = F.create_map(*(F.lit(x) for r in rules for x in (_tag(r), r.kind)))
     by_blob = (
-        ledger.where(F.col("rule").isin([_tag(r) for r in rules]) & (F.size("spans") > 0))
+        ledger.where(F.size("found") > 0)
+        .select("blob", F.explode("found").alias("rule", "spans"))
+        .where(F.col("rule").isin(tags))
         .groupBy("blob")
         .agg(F.map_from_entries(F.collect_list(F.struct(kinds[F.col("rule")], "spans"))).alias("found"))  # as many as rules
     )
