@@ -121,9 +121,9 @@ def bad_host(authority: Column, host: Column, port: Column, tail: Column) -> Col
     return empty_port(port) | glued_domain(authority) | (host_embeds(host) & shallow(tail))
 
 
-def reasons(path: Column, query: Column) -> list[tuple[str, Column]]:
+def reasons(path: Column, query: Column, last: Column | None = None) -> list[tuple[str, Column]]:
     """Every predicate on path and query, cheap ones first."""
-    first, last = first_segment(path), last_segment(path)
+    first, last = first_segment(path), last_segment(path) if last is None else last
     return [
         ("bad_path_bytes", bad_path_bytes(path)),
         ("leading_comma", leading_comma(query)),
@@ -147,9 +147,9 @@ def reasons(path: Column, query: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def garbage(path: Column, query: Column) -> Column:
+def garbage(path: Column, query: Column, last: Column | None = None) -> Column:
     out = F.lit(False)
-    for _, c in reasons(path, query):
+    for _, c in reasons(path, query, last):
         out = out | c
     return out
 
