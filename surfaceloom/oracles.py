@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from surfaceloom import lists
 from surfaceloom.corpus import EDGES, events_sql
 from surfaceloom.options import SurfaceOptions
@@ -317,6 +319,13 @@ def only(sql: str, table: str) -> str:
     return f"WITH RECURSIVE {table}, {PARSED}, {', '.join(stages())} {sql}"
 
 
+def _earlier(sql: str) -> str:
+    """The same tables over the lines of an earlier run, under other names."""
+    tables = "edges corpus cut repaired repair sited ported cutoff parsed passed fronted keyed based firsts decorated folded tagged covered"
+    renamed = re.sub(rf"\b({'|'.join(tables.split())})\b", r"earlier_\1", sql)
+    return renamed.replace("FROM events", "FROM events WHERE FALSE")
+
+
 FIELDS = {
     "p1_scheme_split": "SELECT ord, scheme, rest FROM cut",
     "p2_scheme_repair": "SELECT ord, scheme, rest FROM parsed",
@@ -381,6 +390,7 @@ def oracles() -> dict[str, str]:
     out |= {name: over(f"SELECT ord, {templates(o)} AS template, array_to_string(kept, '/') AS kept FROM (SELECT *, {KEPT} AS kept FROM parsed)") for name, o in TEMPLATES.items()}
     out |= {name.replace("default", "dedup"): dedup(o) for name, o in OPTIONS.items()}
     plain = stages()
+    chain = ", ".join([CORPUS, PARSED, *plain])
     pages = "corpus AS (SELECT page_id AS ord, url AS line FROM pages WHERE url <> '')"
     both = "corpus AS (SELECT page_id AS ord, url AS line FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT 1000000000000 + page_id, url FROM pages WHERE page_id % 3 = 1)"
     out |= {
@@ -401,6 +411,9 @@ def oracles() -> dict[str, str]:
         "j4_set_sizes": over("SELECT grp, len(keys)::BIGINT AS size, count(*) AS n FROM firsts WHERE grp IS NOT NULL GROUP BY 1, 2", *plain),
         "j5_no_merge": over("SELECT ord, out FROM folded", *plain),
         "o1_ordered": over(f"{kept(SurfaceOptions())} ORDER BY ord", *plain),
+        "u2_fresh": f"WITH RECURSIVE {chain}, {_earlier(chain)} {kept(SurfaceOptions())} AND out NOT IN (SELECT out FROM ({_earlier(kept(SurfaceOptions()))}))",
+        "w1_arrival_rank": over("SELECT ord, row_number() OVER (PARTITION BY sig ORDER BY ord) AS place FROM based", *plain),
+        "e2_raw_output": over("SELECT ord, sig, out FROM based", *stages(SurfaceOptions(raw_output=True))),
         "e1_output": over("SELECT ord, out FROM based", *plain),
     }
     return out

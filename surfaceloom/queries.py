@@ -247,6 +247,18 @@ def u2_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fresh(ops.dedup(rows), ops.dedup(rows.where("ord < 2000000000000")))
 
 
+def w1_arrival_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place among those of its signature."""
+    from pyspark.sql import Window
+
+    return _keyed(spark, sf_dir).select("ord", F.row_number().over(Window.partitionBy("sig").orderBy("ord")).cast("long").alias("place"))
+
+
+def e2_raw_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line as it was read, beside the signature, which is the same either way."""
+    return ops.keyed(urls(spark, sf_dir), options=SurfaceOptions(raw_output=True)).select("ord", "sig", "out")
+
+
 def e1_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.keyed(urls(spark, sf_dir)).select("ord", "out")
 
@@ -257,6 +269,6 @@ def queries() -> dict[str, Query]:
         out |= {name if many is not OPTIONS else name.replace("default", "dedup"): partial(run, name) for name in many}
     for f in (s1_lines, s2_carriage_returns, s3_records, s5_union, s7_stream_first_seen, s9_stats, s10_table_source, q9_signatures, a1_first_arrivals, a2_counts, a3_decorated):
         out[f.__name__] = f
-    for f in (j1_fold_bare, j2_merge_covered, j3_covering_pairs, j4_set_sizes, j5_capped_merge, j5_no_merge, o1_ordered, u2_fresh, e1_output):
+    for f in (j1_fold_bare, j2_merge_covered, j3_covering_pairs, j4_set_sizes, j5_capped_merge, j5_no_merge, o1_ordered, u2_fresh, w1_arrival_rank, e1_output, e2_raw_output):
         out[f.__name__] = f
     return out
