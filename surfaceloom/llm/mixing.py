@@ -174,11 +174,12 @@ def remix(docs: DataFrame, **options) -> DataFrame:
             out.append(" ".join(got) if got else None)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(parts, docs["doc_id"] == parts["doc_id_"], "left")
-    new = joined.withColumn("text_", F.when(F.col("parts_").isNull(), F.col("text")).otherwise(take("text", "parts_")))
-    kept = new.where(F.col("parts_").isNull() | F.col("text_").isNotNull()).where(F.col("doc_id").isNotNull())
-    cols = {"text": F.col("text_")} | ({"n_chars": F.length("text_").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return kept.withColumns(cols).select(*docs.columns)
+    # a row stands in one column, so that no name of its own can clash
+    joined = docs.where(docs["doc_id"].isNotNull()).select(F.struct("*").alias("row")).join(parts, F.col("row.doc_id") == F.col("doc_id_"), "left")
+    made = joined.withColumn("text_", F.when(F.col("parts_").isNull(), F.col("row.text")).otherwise(take(F.col("row.text"), F.col("parts_"))))
+    kept = made.where(F.col("parts_").isNull() | F.col("text_").isNotNull())
+    new = {"text": F.col("text_")} | ({"n_chars": F.length("text_").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return kept.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,11 +170,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(flat, docs["doc_id"].eqNullSafe(flat["path_"]), "left")
-    changed = joined.withColumn("text", F.when(F.col("cuts_").isNull(), F.col("text")).otherwise(without("text", "cuts_")))
+    # a row stands in one column, so that no name of its own can clash
+    joined = docs.select(F.struct("*").alias("row")).join(flat, F.col("row.doc_id").eqNullSafe(F.col("path_")), "left")
+    text = F.when(F.col("cuts_").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("cuts_")))
+    changed = joined.withColumn("text_", text)
+    new = {"text": F.col("text_")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("cuts_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("cuts_").isNull(), F.col("row.n_chars")).otherwise(F.length("text_").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
