@@ -12,13 +12,14 @@ from surfaceloom.llm.common import settle, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this table's labels, calls toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    # a row stands in one column, so that no name of its own can clash
+    return toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model, ("row",)).where("score < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that shingles of five words link at 0.8 or more, the one with the smallest doc_id stays."""
     heads = jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
