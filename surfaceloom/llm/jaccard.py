@@ -219,7 +219,7 @@ def blocks(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFram
         .withColumn("block", (F.col("each") * F.col(fixed) + F.col("fixed")) if query == 0 else (F.col("fixed") * F.col("cuts") + F.col("each")))
         .select("grp", "block", F.lit(query).alias("query"), "class")
     )
-    return side(members, 0, "cuts", "copies").unionAll(side(queries, 1, "copies", "cuts")).join(texts, "class")
+    return side(members, 0, "cuts", "copies").unionAll(side(queries, 1, "copies", "cuts")).join(texts.hint("merge"), "class")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -246,7 +246,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     nodes = settle(shared.select("class").distinct().join(pivots, "class", "left").join(sized, "class").select("class", F.coalesce("pivot", "class").alias("pivot"), "n", "doc_id"), "nodes")
     texts = settle(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(nodes.select("doc_id", "class"), "doc_id")
+        .join(nodes.select("doc_id", "class").hint("merge"), "doc_id")  # the same plan at every size
         .mapInArrow(_of_class(n), "class long, text string"),
         "texts",
     )
