@@ -148,7 +148,7 @@ def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         def build(self) -> None:
             """The group's row of the matrix: its union of tokens, with the members that hold each."""
-            self.size = np.array([len(t) for t in self.tokens])
+            self.size = np.array([len(t) for t in self.tokens], np.int64)  # a block can be without members
             flat = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
             order = np.argsort(flat, kind="stable")
             self.owner = np.repeat(np.arange(len(self.tokens)), self.size)[order]
