@@ -13,8 +13,8 @@ from surfaceloom.shipping import ship
 
 
 def first_arrivals(df: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Of the rows with a signature the one that came first."""
-    by_sig = Window.partitionBy("sig").orderBy(ord_col)
+    """Of the rows with a signature the one that came first. A signature has one base: rows dealt by base stay where they are."""
+    by_sig = Window.partitionBy("base", "sig").orderBy(ord_col)
     return df.withColumn("n_", F.row_number().over(by_sig)).where("n_ = 1").drop("n_")
 
 
@@ -115,8 +115,11 @@ def dedup(df: DataFrame, line: str = "line", ord_col: str = "ord", options: Surf
     rows = keyed(df.where(F.octet_length(line) > 0), line, options).select(ord_col, "sig", "base", "grp", "keys", "out")
     if not options.merging:
         return first_arrivals(rows, ord_col).select(ord_col, "out")
-    # one shuffle by base serves the first arrivals and the folding of bare rows
-    rows = fold_bare(first_arrivals(rows.repartition("base"), ord_col).transform(lambda d: d))
+    # One shuffle by base serves the first arrivals, the folding of bare rows and both sides of the merge: what either side
+    # needs besides travels in one column, so that both ask for the same columns and the exchange is reused.
+    load = F.concat(F.array("out", "grp"), F.coalesce("keys", F.array().cast("array<string>")))
+    rows = fold_bare(first_arrivals(rows.select(ord_col, "sig", "base", load.alias("load")).repartition("base"), ord_col))
+    rows = rows.select(ord_col, "sig", F.get("load", F.lit(0)).alias("out"), F.get("load", F.lit(1)).alias("grp"), F.slice("load", 3, F.size("load")).alias("keys"))
     rows = merge_capped(rows, options.merge_cap, ord_col) if options.merge_cap else merge_covered(rows)
     return rows.select(ord_col, "out")
 
@@ -128,4 +131,5 @@ def fresh(df: DataFrame, known: DataFrame) -> DataFrame:
 
 def stats(lines: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: n_in non-empty lines, n_out rows kept."""
-    return lines.where(F.octet_length("line") > 0).agg(F.count("*").alias("n_in")).join(kept.agg(F.count("*").alias("n_out")), F.lit(True))
+    both = lines.where(F.octet_length("line") > 0).select(F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(kept.select(F.lit(0).alias("i"), F.lit(1).alias("o")))
+    return both.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("n_in"), F.coalesce(F.sum("o"), F.lit(0)).alias("n_out"))

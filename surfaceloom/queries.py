@@ -13,6 +13,7 @@ from surfaceloom.functions import gate, query, segments, text
 from surfaceloom.operators import dedup as ops
 from surfaceloom.options import SurfaceOptions
 from surfaceloom.plans.surface import gated, parsed, query_counts, signed
+from surfaceloom.shipping import shared_dir
 from surfaceloom.sources import lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,7 +169,7 @@ def s7_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from surfaceloom.streaming.surface import first_seen
 
-    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS ord", "url AS line")
     source.repartition(4).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", "100").parquet(f"{folder}/in")
@@ -176,13 +177,6 @@ def s7_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("ord", "out")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='surfaceloom-')}").rstrip("/")
-
-
 def s9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls(spark, sf_dir)
     return ops.stats(rows, ops.dedup(rows))
