@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surfaceloom.shipping import ship
+from surfaceloom.shipping import shared_dir, ship
 
 #: Bytes of text that a worker turns into NumPy arrays at once; every array costs eight times as much.
 SLICE_BYTES = 1 << 21
@@ -25,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="surfaceloom-")
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to a table in the shared folder and reads it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
