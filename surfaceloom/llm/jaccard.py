@@ -11,7 +11,8 @@ enough; opened groups are compared exactly. What keeps the matrix sparse:
   signature unless it fills a whole part of the set.
 * Groups. A class joins the pivot with which it shares most signatures (a bucket's pivot is its smallest class).
 * Queries. First each class is held against its pivot, which links most copies. After that only classes in buckets that
-  hold other components are queries, and they open only groups with such members, cut into blocks of bounded size.
+  hold other components are queries, and they ask only groups with such members with which they share as many signatures
+  as two similar sets have to; groups are cut into blocks of bounded size.
 
 A bucket or group of any size costs rows in proportion to it: no pairs of its members are ever listed.
 """
@@ -46,6 +47,7 @@ class Levels:
         apart = (den - num) * 2 * (self.bounds[2:] - 1) // (den + num)
         self.spare = np.where(apart >= 7, 1 + apart // 40, 0)
         self.parts = apart + 1 + 2 * self.spare
+        assert len(self.parts) < 256  # a signature's lowest byte is its level
 
     def of(self, sizes: np.ndarray) -> list[np.ndarray]:
         """The two levels of each size; -1 where only equal sets are similar enough."""
@@ -57,6 +59,10 @@ class Levels:
         return out
 
 
+def _labelled(signs: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    return (signs & ~np.uint64(255)) | np.asarray(level).astype(np.uint64)
+
+
 def signatures(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and the row of each. tokens rise within a row."""
     sizes = np.diff(at)
@@ -85,12 +91,12 @@ def signatures(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.n
             a = np.searchsorted(row, r)
             keep[a + np.argsort(inside[a : a + have[r]], kind="stable")[: drop[r]]] = False
         name = level[rows][row].astype(np.uint64) << np.uint64(40)
-        all_signs.append(mix(sums ^ mix(name + number))[keep])
+        all_signs.append(_labelled(mix(sums ^ mix(name + number)), level[rows][row])[keep])
         all_rows.append(rows[row][keep])
         for r in np.flatnonzero(k - have > w):  # more empty parts than may be left out
             a = np.searchsorted(row, r)
             empty = np.setdiff1d(np.arange(k[r]), number[a : a + have[r]].astype(np.int64))[w[r] :]
-            all_signs.append(mix(mix((np.uint64(level[rows[r]]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1)))
+            all_signs.append(_labelled(mix(mix((np.uint64(level[rows[r]]) << np.uint64(40)) + empty.astype(np.uint64)) + np.uint64(1)), level[rows[r]]))
             all_rows.append(np.full(len(empty), rows[r]))
     if not all_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -265,13 +271,25 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         .withColumns({"low": F.min("root").over(by_sign), "high": F.max("root").over(by_sign)})
         .where("low < high")
     )
-    mixed = settle(mixed.select("sign", "class", "root", "grp", "members"), "mixed")
+    mixed = settle(mixed.select("sign", "class", "n", "root", "grp", "members"), "mixed")
     inside = mixed.groupBy("sign", "grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members"))
+    # Two sets that are similar enough differ in so few parts that they share this many signatures of the level of the
+    # smaller one; so many has a query to share with a group. 256 rows at most.
+    levels = Levels(num, den)
+    level_rows = [(i, int(k - 2 * w), int(levels.bounds[i + 1]), int(levels.bounds[i + 2])) for i, (k, w) in enumerate(zip(levels.parts, levels.spare, strict=True))]
+    level_table = docs.sparkSession.createDataFrame(level_rows, "level int, parts long, middle long, top long")
+    # the other's size at most: at a set's own level any, at the one below the sizes of that level's lower half
+    other = F.when(F.col("n") < F.col("middle"), F.least(F.floor(F.col("n") * den / num), F.col("top") - 1)).otherwise(F.col("middle") - 1)
+    needed = F.greatest(F.lit(1), F.col("parts") - F.floor((F.col("n") + other) * (den - num) / (den + num)))
     asks = (
         mixed.alias("q").join(inside.alias("g"), "sign")
         # the smaller group asks the larger; and there is a member of another component
         .where("(q.members < g.members or (q.members = g.members and q.grp <= g.grp)) and (q.root <> g.low or q.root <> g.high)")
-        .select(F.col("g.grp").alias("grp"), F.col("q.class").alias("class"))
+        .groupBy(F.col("g.grp").alias("grp"), F.col("q.class").alias("class"), F.col("sign").bitwiseAND(255).cast("int").alias("level"))
+        .agg(F.count("*").alias("common"), F.first("q.n").alias("n"))
+        .join(F.broadcast(level_table), "level")
+        .where(F.col("common") >= needed)
+        .select("grp", "class")
         .distinct()
     )
     asks = settle(asks, "asks")
