@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfaceloom.llm import jaccard, mixing, packing, secrets, toxicity
-from surfaceloom.llm.common import settle, table
+from surfaceloom.llm.common import numbered, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that shingles of five words link at 0.8 or more, the one with the smallest doc_id stays."""
-    heads = jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
+    """Of rows that shingles of five words link at 0.8 or more, one with the smallest doc_id stays (none comes last)."""
+    rows = numbered(docs)
+    linked = jaccard.join(rows.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
+    first = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
+    heads = rows.select("number", first.alias("first")).join(linked, "number").groupBy("group").agg(F.min("first").alias("first")).select("first.number")
+    return rows.join(heads, "number", "left_semi").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as one, so that no name can clash) and number, which tells any two rows apart."""
+    return settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes of column `text` each; a longer row stands alone."""
     sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(batch.column("text")).to_pylist()), np.int64, batch.num_rows)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import mix, settle, table
+from surfaceloom.llm.common import mix, numbered, settle, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), Fraction(3, 2), 2, 64, 1 << 16, 7
@@ -77,14 +77,19 @@ class Mix:
     sources: source, idx, source_size, target. rows: doc_id, idx, size, start (its first word's place in the source), one
     for each row of docs, repeated ones too. slots: shard, idx, slot, block. pieces: the part of a row in a block, with
     `times`, how often the mix takes that block. The driver holds a line for each source and for each source of a shard.
+    `number` names a column that tells rows apart; rows and pieces then carry it.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, number: str | None = None):
         spark = docs.sparkSession
         self.block = block
-        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
+        self.number = [number] if number else []
+        # rows of one doc_id and size, in an order that hangs on their texts first
+        ties = [F.xxhash64("text").alias("tie"), number] if number else []
+        order = ["doc_id", "size", *(["tie", number] if number else [])]
+        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), *ties)
         # a source's documents in order, whatever number of tasks they take
-        sized = settle(sized.repartitionByRange("source", "doc_id", "size").sortWithinPartitions("source", "doc_id", "size").withColumn("part", F.spark_partition_id()), "sizes")
+        sized = settle(sized.repartitionByRange("source", *order).sortWithinPartitions("source", *order).withColumn("part", F.spark_partition_id()), "sizes")
         per = sized.groupBy("source", "part").agg(F.sum("size").alias("words")).collect()
         total: dict = {}
         for r in per:
@@ -101,11 +106,11 @@ class Mix:
             before.append((number[r.source], r.source, r.part, at.get(r.source, 0)))
             at[r.source] = at.get(r.source, 0) + r.words
         before = spark.createDataFrame(before, "idx int, source_ string, part_ int, before long")
-        inside = Window.partitionBy("idx", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = Window.partitionBy("idx", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.rows = (
             sized.join(before, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
             .withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-            .select("doc_id", "idx", "size", "start")
+            .select("doc_id", "idx", "size", "start", *self.number)
         )
         size_of = np.array(blocks or [1], np.int64)
 
@@ -128,7 +133,7 @@ class Mix:
             .withColumn("from", F.greatest(F.col("start"), F.col("block") * b))
             .withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b))
         )
-        return parts.join(times, ["idx", "block"], "left").select("doc_id", "idx", "size", "start", "block", "from", "to", F.coalesce("times", F.lit(0)).alias("times"))
+        return parts.join(times, ["idx", "block"], "left").select("doc_id", "idx", "size", "start", *self.number, "block", "from", "to", F.coalesce("times", F.lit(0)).alias("times"))
 
     def taken(self) -> DataFrame:
         """doc_id, idx, size, start, taken."""
@@ -150,10 +155,12 @@ def remix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row's text is the words taken, blank-separated, those taken twice after the others.
 
     Same columns; n_chars counts the new text; documents of which nothing is taken go. A document that is taken once as a
-    whole keeps its text. doc_id has to tell rows apart; rows without one go. Texts without words stay as they are.
+    whole keeps its text. A row takes its own words, whatever other rows have its doc_id or none. Texts without words stay
+    as they are.
     """
-    made = Mix(docs, **options)
-    parts = made.pieces().groupBy(F.col("doc_id").alias("doc_id_")).agg(F.sort_array(F.collect_list(F.struct(F.col("from") - F.col("start"), F.col("to") - F.col("start"), "times"))).alias("parts_"))
+    rows = numbered(docs)
+    made = Mix(rows.select("row.doc_id", "row.text", "row.source", "number"), **options, number="number")
+    parts = made.pieces().groupBy("number").agg(F.sort_array(F.collect_list(F.struct(F.col("from") - F.col("start"), F.col("to") - F.col("start"), "times"))).alias("parts_"))
 
     @F.pandas_udf("string")
     def take(texts: pd.Series, parts: pd.Series) -> pd.Series:
@@ -161,6 +168,9 @@ def remix(docs: DataFrame, **options) -> DataFrame:
 
         out = []
         for text, runs in zip(texts, parts, strict=True):
+            if runs is None:  # no words; a udf sees all rows
+                out.append(text)
+                continue
             runs = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in runs]
             if all(r[2] == 1 for r in runs):
                 out.append(text)
@@ -174,8 +184,7 @@ def remix(docs: DataFrame, **options) -> DataFrame:
             out.append(" ".join(got) if got else None)
         return pd.Series(out, dtype=object)
 
-    # a row stands in one column, so that no name of its own can clash
-    joined = docs.where(docs["doc_id"].isNotNull()).select(F.struct("*").alias("row")).join(parts, F.col("row.doc_id") == F.col("doc_id_"), "left")
+    joined = rows.join(parts, "number", "left")
     made = joined.withColumn("text_", F.when(F.col("parts_").isNull(), F.col("row.text")).otherwise(take(F.col("row.text"), F.col("parts_"))))
     kept = made.where(F.col("parts_").isNull() | F.col("text_").isNotNull())
     new = {"text": F.col("text_")} | ({"n_chars": F.length("text_").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

@@ -144,10 +144,11 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every finding's text replaced by [SECRET]; findings that overlap or touch become one.
 
-    Returns the same columns and rows; n_chars, where there is one, counts the new text. doc_id has to tell rows apart.
+    Returns the same columns and rows; n_chars, where there is one, counts the new text. Cuts are joined back by doc_id and
+    text, so rows with one doc_id, or without any, can have different texts.
     """
     ledger = settle(scan(docs, None, rules), "ledger")
-    flat = findings(docs, ledger, rules).where("found is not null").select(F.col("path").alias("path_"), F.flatten(F.map_values("found")).alias("cuts_")).dropDuplicates(["path_"])
+    flat = findings(docs, ledger, rules).where("found is not null").select(F.col("path").alias("path_"), F.col("blob").alias("blob_"), F.flatten(F.map_values("found")).alias("cuts_")).dropDuplicates(["path_", "blob_"])
 
     @F.pandas_udf("string")
     def without(texts, cuts):
@@ -171,7 +172,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     # a row stands in one column, so that no name of its own can clash
-    joined = docs.select(F.struct("*").alias("row")).join(flat, F.col("row.doc_id").eqNullSafe(F.col("path_")), "left")
+    joined = docs.select(F.struct("*").alias("row")).join(flat, F.col("row.doc_id").eqNullSafe(F.col("path_")) & (address(F.col("row.text")) == F.col("blob_")), "left")
     text = F.when(F.col("cuts_").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("cuts_")))
     changed = joined.withColumn("text_", text)
     new = {"text": F.col("text_")}

@@ -261,6 +261,13 @@ def test_redaction(spark):
     assert all(not base_spans(got[i]) for i in (1, 2, 3, 4))
 
 
+def test_redaction_where_rows_share_an_id(spark):
+    key = "AKIA" + "A" * 16
+    rows = [(1, f"one {key} tail"), (1, f"a longer start, {key}"), (1, None), (1, "clean words"), (None, f"{key} first"), (None, f"none {key}"), (None, None), (None, f"none {key}")]
+    got = sorted((r.doc_id or -1, str(r.text)) for r in secrets.redact(frame(spark, rows)).collect())
+    assert got == sorted((i or -1, str(t).replace(key, "[SECRET]")) for i, t in rows)
+
+
 # ---- 5 Jaccard
 def linked(rows, n, num, den):
     sets = {}
@@ -421,6 +428,21 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert all(n == 0 for i, n in taken.items() if i not in got)
 
 
+def test_mixed_rows_that_share_an_id_take_their_own_words(spark):
+    ids = [7, 7, 7, None, None, None, 8]
+    texts = [" ".join(f"r{n}w{k}" for k in range(5 + 37 * n)) for n in range(len(ids))]
+    rows = [(i, t) for i, t in zip(ids, texts)] + [(7, texts[2]), (None, texts[5]), (None, None)]
+    df = frame(spark, rows)
+    taken = sorted((r.doc_id or -1, r.taken) for r in mixing.shares(df, block=8).collect())
+    got = [(r.doc_id or -1, r.text) for r in mixing.remix(df, block=8).collect()]
+    for i, t in got:
+        if t is not None:  # words of one row, none more often than the mix takes a block
+            count = collections.Counter(t.split())
+            assert len({w.split("w")[0] for w in count}) == 1 and max(count.values()) <= 2 and (i if i > 0 else None, texts[int(t[1 : t.index("w")])]) in rows
+    assert (-1, None) in got and sum(i == -1 for i, _ in got) > 1
+    assert sum(len((t or "").split()) for _, t in got) == sum(n for _, n in taken)
+
+
 def test_targets():
     assert [float(t) for t in mixing.targets([10, 10, 100], [5, 2, 1])] == [20, 20, 140]
     assert mixing.targets([0, 0], [5, 2]) == [0, 0]

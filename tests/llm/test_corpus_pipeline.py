@@ -34,6 +34,13 @@ def test_stages(spark, tmp_path):
     assert set(found) == set(mixed) and all(sum(x[0] for x in p.values()) == next(iter(p.values()))[2] for p in found.values())
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (9, a), (None, a), (5, b), (None, b), (None, c), (None, c), (None, ""), (3, None)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), DIR)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(5, a), (5, b), (None, c), (None, ""), (3, None)], "doc_id long, text string").collect()))
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
