@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surfaceloom.shipping import shared_dir, ship
@@ -38,6 +38,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
 
 
+def text_key() -> Column:
+    """A hash that tells rows with one doc_id, or without any, apart by their texts; repeated rows share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"))
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes of column `text` each; a longer row stands alone."""
     sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(batch.column("text")).to_pylist()), np.int64, batch.num_rows)

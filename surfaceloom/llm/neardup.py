@@ -140,13 +140,14 @@ def near(df: DataFrame, least: float = 0.9) -> DataFrame:
 
     Links are pairs of rows with cosine >= least that share a bucket; n_links counts rows, copies too. Vectors that are
     null, zero, of another length than most, or that hold null or non-finite components link with nothing and are their
-    own component, and kept. A null vec_id can be linked but names no component; repeated rows link with each other.
+    own component, and kept. A null vec_id can be linked but names no component (one of null ids alone has a null id); repeated
+    rows, and different vectors with one vec_id, are rows that link by their vectors.
     """
     size = width(df)
     packed = settle(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack(size), "vec_id long, vector binary"), "vectors")
-    # copies are one node, whose number is that of its first row
-    nodes = packed.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).where("node is not null")
-    nodes = settle(nodes.select("node", "vector", "weight").groupBy("node").agg(F.first("vector").alias("vector"), F.first("weight").alias("weight")), "nodes")
+    # copies are one node, with a number of its own: ids can be null or stand at different vectors
+    nodes = packed.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = settle(nodes.select("node", "vector").mapInArrow(_buckets(size), "node long, place int, bucket long"), "buckets")
     full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     tiled = (
@@ -156,11 +157,14 @@ def near(df: DataFrame, least: float = 0.9) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
         .select("bucket", (F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")).alias("tile"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "place")
     )
-    rows = tiled.join(nodes, "node").select("bucket", "tile", "node", "side", "place", "weight", "vector")
+    rows = tiled.join(nodes.drop("first"), "node").select("bucket", "tile", "node", "side", "place", "weight", "vector")
     found = settle(rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "node").mapInArrow(_links(size, least), "u long, v long, links long"), "links")
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("others"))
     roots = components(found.where("u <> v").select("u", "v"))
-    by_node = nodes.join(counts, "node", "left").join(roots, "node", "left").select("vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # the smallest id that is not null
+    named = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    by_node = nodes.join(counts, "node", "left").join(named, "node").select("vector", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = packed.join(by_node, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import settle, table
+from surfaceloom.llm.common import table, text_key
 
 SENTENCE, WORD = r"[^.!?\n]+[.!?]*", r"[^\x20\x09-\x0D]+"
 RUN, RUN_WORDS, LONE_WORDS = 2, 12, 40
@@ -24,38 +24,39 @@ def sentences(text: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, at (number of the first sentence), n (sentences), and the span's hash as two numbers."""
+    """doc_id, own (text_key()), at (number of the first sentence), n (sentences), and the span's hash as two numbers."""
     n = F.col("text").cast("string")
     parts = sentences(n)
     both = F.arrays_zip(parts.alias("a"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("b"))
-    rows = docs.select("doc_id", F.posexplode(both).alias("at", "s")).select("doc_id", "at", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    rows = docs.select("doc_id", text_key().alias("own"), F.posexplode(both).alias("at", "s")).select("doc_id", "own", "at", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     rows = rows.withColumn("words", F.regexp_count("a", F.lit(WORD))).withColumn("more", F.regexp_count("b", F.lit(WORD)))
     span = lambda n, *c: F.struct(F.lit(n).alias("n"), F.xxhash64(*c).alias("h1"), F.xxhash64(F.lit(n), *reversed(c)).alias("h2"))
     kinds = F.array(
         F.when(F.col("b").isNotNull() & (F.col("words") + F.col("more") >= RUN_WORDS), span(2, "a", "b")),
         F.when(F.col("words") >= LONE_WORDS, span(1, "a")),
     )
-    return rows.select("doc_id", "at", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("doc_id", "at", "k.*")
+    return rows.select("doc_id", "own", "at", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("doc_id", "own", "at", "k.*")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id and gone: the numbers of the sentences that a span covers which isn't the first of its kind."""
-    same = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "at")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "at")
+    """doc_id, own and gone: the numbers of the sentences that a span covers which isn't the first of its kind."""
+    same = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "own", "at")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "own", "at")
     later = spans(docs).withColumn("first", F.first(place).over(same)).where(F.col("first") != place)
     # a document's own sentences: as many as it has
-    return later.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    return later.select("doc_id", "own", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed and kept (the sentences that stay, a line each) for each row of docs.
 
     The first place of a span is that of the smallest doc_id, then of the first sentence. Null and empty texts have no
-    sentences; a null doc_id comes first; repeated rows count as one document; an empty table gives none.
+    sentences; a null doc_id comes first; texts with one doc_id, or without any, are documents of their own, in the order
+    of a hash; repeated rows count as one document; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = covered(docs).withColumnRenamed("doc_id", "doc_id_")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id_"]), "left").withColumn("s", sentences(F.col("text")))
+    gone = covered(docs).withColumnsRenamed({"doc_id": "doc_id_", "own": "own_"})
+    joined = docs.withColumn("own", text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("own") == F.col("own_")), "left").withColumn("s", sentences(F.col("text")))
     all_ = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
     left = F.array_except(all_, F.coalesce("gone", F.array().cast("array<int>")))
     joined = joined.withColumn("left", left)

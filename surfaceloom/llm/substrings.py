@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import SLICE_BYTES, byte_words, mix, settle, table
+from surfaceloom.llm.common import SLICE_BYTES, byte_words, mix, settle, table, text_key
 from surfaceloom.llm.shingles import powers
 
 LENGTH, SEED = 100, 32
@@ -31,6 +31,14 @@ LENGTH, SEED = 100, 32
 BATCH, PART = 1 << 16, 1 << 22
 _WORDS = byte_words(11)
 _NONE = -(1 << 63)
+#: A document: its doc_id and the hash that tells it from others with the same.
+DOC = np.dtype([("doc", np.int64), ("own", np.int64)])
+
+
+def _docs(doc: pa.Array, own: pa.Array) -> np.ndarray:
+    out = np.empty(len(doc), DOC)
+    out["doc"], out["own"] = doc.to_numpy(), own.to_numpy()
+    return out
 
 
 class Hashes:
@@ -114,12 +122,13 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc").to_numpy()
+        ids = _docs(batch.column("doc"), batch.column("own"))
         for row, offset, raw, starts in texts_of(batch):
             text, first, length, anchor, mark, own = runs(raw, starts)
+            doc = ids[row[text]] if len(text) else ids[:0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(ids[row[text]] if len(text) else text), pa.array((first + offset[text]) << 8 | length << 1 | own if len(text) else text)],
-                ["anchor", "mark", "doc", "at"],
+                [pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(doc["doc"]), pa.array(doc["own"]), pa.array((first + offset[text]) << 8 | length << 1 | own if len(text) else text)],
+                ["anchor", "mark", "doc", "own", "at"],
             )
 
 
@@ -196,7 +205,8 @@ def _decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Known stretches (no anchor), and those whose windows have to be compared (with it)."""
     family = Family()
     for rows in _batched(batches):
-        anchor, mark, doc, at = (rows.column(i).to_numpy() for i in range(4))
+        anchor, mark, at = (rows.column(i).to_numpy() for i in ("anchor", "mark", "at"))
+        doc = _docs(rows.column("doc"), rows.column("own"))
         key = mix(anchor.view(np.uint64) ^ mix(mark.view(np.uint64)))
         seen = family.anchors(anchor)
         known, first = family.add(key, anchor, doc, at, np.zeros(len(at), bool))
@@ -209,43 +219,48 @@ def _decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_doc = np.concatenate([doc[known], *(x[1] for x in found)])
         out_at = np.concatenate([at[known], *(x[2] for x in found)])
         no_anchor = np.concatenate([np.ones(known.sum(), bool), np.zeros(len(a), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc), pa.array(out_at), pa.array(np.concatenate([np.zeros(known.sum(), np.int64), a]), mask=no_anchor)], ["doc", "at", "anchor"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_doc["doc"]), pa.array(out_doc["own"]), pa.array(out_at), pa.array(np.concatenate([np.zeros(known.sum(), np.int64), a]), mask=no_anchor)], ["doc", "own", "at", "anchor"])
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs asked for: anchor, doc, at, bytes."""
+    """The bytes of the runs asked for: anchor, doc, own, at, bytes."""
     for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc, own, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
             text = text.as_py() or b""
             for r in asked:
                 start, length = r["at"] >> 8, (r["at"] & 255) >> 1
-                for col, x in zip(out, (r["anchor"], doc, r["at"], text[start : start + length - 1 + LENGTH]), strict=True):
+                for col, x in zip(out, (r["anchor"], doc, own, r["at"], text[start : start + length - 1 + LENGTH]), strict=True):
                     col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc", "at", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc", "own", "at", "bytes"])
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Known windows of the stretches, as runs: doc, at."""
-    family = Family()
+    """Known windows of the stretches, as runs: doc, own, at."""
+    family, last, documents = Family(), None, 0
     for batch in batches:
         for a in range(0, batch.num_rows, 1 << 13):
             rows = batch.slice(a, 1 << 13)
-            anchor, doc, at = (rows.column(i).to_numpy() for i in range(3))
-            raw = rows.column(3).to_pylist()
+            anchor, at, doc = rows.column(0).to_numpy(), rows.column(3).to_numpy(), _docs(rows.column(1), rows.column(2))
+            raw = rows.column(4).to_pylist()
+            # rows of a document stand together: the many windows carry a running number in its place
+            new = np.append(last is None or doc[0] != last, doc[1:] != doc[:-1])
+            number, last = documents + np.cumsum(new), doc[-1]
+            documents = int(number[-1])
             starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
             count = np.diff(starts) - LENGTH + 1
             row = np.repeat(np.arange(len(raw)), count)
             place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             begin = starts[row] + place
             key = mix(anchor[row].view(np.uint64) ^ mix(Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(begin, begin + LENGTH, 3)))
-            known, _ = family.add(key, anchor[row], doc[row], (at[row] >> 8) + place, np.ones(len(row), bool))
+            known, _ = family.add(key, anchor[row], number[row], (at[row] >> 8) + place, np.ones(len(row), bool))
             hit = np.flatnonzero(known)
             if len(hit):
                 first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])))
                 length = np.diff(np.append(first, len(hit)))
                 low = hit[first]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[low]]), pa.array(((at[row[low]] >> 8) + place[low]) << 8 | length << 1)], ["doc", "at"])
+                found = doc[row[low]]
+                yield pa.RecordBatch.from_arrays([pa.array(found["doc"]), pa.array(found["own"]), pa.array(((at[row[low]] >> 8) + place[low]) << 8 | length << 1)], ["doc", "own", "at"])
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,27 +283,30 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc (doc_id; null is -2**63) and known: runs of windows that also start earlier, each start << 8 | windows << 1."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), F.col("text").cast("string").alias("text"))
-    found = keyed.mapInArrow(_runs, "anchor long, mark long, doc long, at long").repartition("anchor").sortWithinPartitions("doc", "at")
-    decided = settle(found.mapInArrow(_decide, "doc long, at long, anchor long"), "decided")
-    asked = decided.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))  # a document's own runs
-    pieces = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_stretches, "anchor long, doc long, at long, bytes binary")
-    windows = settle(pieces.repartition("anchor").sortWithinPartitions("doc", "at").mapInArrow(_compare, "doc long, at long"), "windows")
-    return decided.where("anchor is null").select("doc", "at").unionAll(windows).groupBy("doc").agg(F.collect_list("at").alias("known"))
+    """doc (doc_id; null is -2**63), own (text_key()) and known: runs of windows that also start earlier, each
+    start << 8 | windows << 1."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), text_key().alias("own"), F.col("text").cast("string").alias("text"))
+    order = ("doc", "own", "at")
+    found = keyed.mapInArrow(_runs, "anchor long, mark long, doc long, own long, at long").repartition("anchor").sortWithinPartitions(*order)
+    decided = settle(found.mapInArrow(_decide, "doc long, own long, at long, anchor long"), "decided")
+    asked = decided.where("anchor is not null").groupBy("doc", "own").agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))  # a document's own runs
+    pieces = keyed.join(asked, ["doc", "own"]).select("doc", "own", "text", "asked").mapInArrow(_stretches, "anchor long, doc long, own long, at long, bytes binary")
+    windows = settle(pieces.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_compare, "doc long, own long, at long"), "windows")
+    return decided.where("anchor is null").select(*order).unionAll(windows).groupBy("doc", "own").agg(F.collect_list("at").alias("known"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs.
 
     Earlier is a smaller doc_id, or an earlier start in the same document. Null and empty texts have no bytes; texts
-    shorter than LENGTH keep all; a null doc_id comes before all others, and rows with the same doc_id (repeated rows)
-    count as one document, which does not repeat itself at the same place. An empty table gives none.
+    shorter than LENGTH keep all; a null doc_id comes before all others. Texts with one doc_id, or without any, are
+    documents of their own, in the order of a hash; repeated rows count as one document, which does not repeat itself at
+    the same place. An empty table gives none.
     """
     known = repeats(docs)
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(known, F.coalesce("doc_id", F.lit(_NONE)) == F.col("doc"), "left")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), text_key().alias("own"), F.col("text").cast("string").alias("text"))
+        .join(known, ["doc", "own"], "left")
         .select("doc_id", "text", "known")
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )

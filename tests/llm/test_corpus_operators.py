@@ -161,6 +161,14 @@ def test_embedding_neardup(spark, monkeypatch):
     assert neardup.near(vectors(spark, x[:0])).collect() == []
 
 
+def test_embeddings_that_share_an_id(spark):
+    a, b, c = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6, [0.0, 0.0, 1.0] + [0.0] * 5
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (None, near(near(b))), (None, c), (None, near(c)), (7, near(near(c)))]
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in neardup.near(vectors(spark, [], rows)).collect())
+    assert got == collections.Counter([(1, 1, 1), (5, 1, 1), (1, 2, 1), (6, 2, 1), (None, 2, 1), (None, 2, 7), (None, 2, 7), (7, 2, 7)])
+
+
 # ---- 3 toxicity
 INSULTS = ["grobian", "wurstkopf", "dumpling", "fishface"]
 
@@ -361,6 +369,15 @@ def test_sentence_spans(spark):
     assert got[6000].n_removed == 4 and got[3].n_removed == 0 and got[12].n_removed == 4
 
 
+def test_sentence_spans_where_rows_share_an_id(spark):
+    said = lambda n: " ".join(f"w{n}x{k}" for k in range(8)) + "."
+    a, b, c = (f"{said(n)} {said(n + 1)}" for n in (0, 10, 20))
+    rows = [(1, a), (1, b), (2, f"{a} {said(50)}"), (None, c), (None, f"{said(60)} {said(61)} {c}"), (None, f"{c} {said(70)}"), (3, c), (3, c)]
+    got = spans.dedup(frame(spark, rows)).collect()
+    kept = collections.Counter(s for r in got for s in r.kept.split("\n") if s)
+    assert len(got) == len(rows) and kept == collections.Counter(said(n) for n in (0, 1, 10, 11, 20, 21, 50, 60, 61, 70))
+
+
 # ---- 9 substrings
 def cut(rows):
     seen, out = {}, {}
@@ -390,6 +407,19 @@ def test_substrings(spark, monkeypatch):
     assert substrings.dedup(frame(spark, rows).where("false")).collect() == []
 
 
+def test_substrings_where_rows_share_an_id(spark):
+    rng = random.Random(91)
+    some = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared, own, tails = some(400), some(500), [f"{n}{some(148)}{n}" for n in range(6)]
+    rows = [(None, shared + tails[0]), (None, shared), (None, shared + tails[1]), (None, tails[2]), (4, shared + tails[3]), (4, own), (4, "short"), (9, tails[4] + shared), (9, own[:300] + tails[5])]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in substrings.dedup(frame(spark, rows)).collect()]
+    assert sorted(str(x[:2]) for x in got) == sorted(str((i, len(t))) for i, t in rows)
+    # the shared passage stays once, among the first rows, and no other byte goes
+    none = sorted(x[1:] for x in got if x[0] is None)
+    assert sum(n for _, n in none) == 800 and all(n in (0, 400) for _, n in none) and (150, 0) in none
+    assert sorted(x[1:] for x in got if x[0] is not None) == sorted([(550, 400), (500, 0), (5, 0), (550, 400), (450, 300)])
+
+
 def test_family_merges_levels():
     family, rng = substrings.Family(), np.random.default_rng(2)
     for n in range(64):
