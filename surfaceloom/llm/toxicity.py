@@ -29,8 +29,8 @@ from surfaceloom.llm.common import table
 
 DECAY, SPAN, WINDOW, STRIDE = 0.7, 9, 24, 12
 LETTERS = 26
-#: Rows and characters of each that the machine is fitted on, at most.
-FIT_ROWS, FIT_CHARS = 4000, 20_000
+#: Rows that the machine is fitted on, at most; the whole text of each.
+FIT_ROWS = 4000
 #: Landmarks of either kind, and clean strings of the first round.
 TOXIC_MARKS, CLEAN_MARKS, CLEAN_STRINGS = 48, 80, 3000
 CACHE, SOME_CHARS = 400_000, 1 << 22
@@ -217,12 +217,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return model._replace(curve=logistic(np.array(table_), np.array([label for label, _ in sentences], float)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts with crc32(doc_id) mod 5 <> 0, the first by a hash of doc_id; `chars` of each."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
+    """At most `rows` labelled texts with crc32(doc_id) mod 5 <> 0, the first by a hash of doc_id, as a whole."""
     told = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(held_out("doc_id") == F.lit(False))
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # broadcast: two numbers for each of `rows` rows at most
-    got = docs.select(F.col("doc_id").cast("long"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, chars).alias("text")).join(F.broadcast(told), "doc_id")
+    got = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(told), "doc_id")
     return [(r.text, r.toxic) for r in sorted(got.select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text))]
 
 

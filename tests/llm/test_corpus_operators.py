@@ -202,6 +202,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.score == pytest.approx(0.01) for r in toxicity.score(docs, none).collect())
 
 
+def test_training_takes_whole_texts(spark):
+    long = "clean words here. " * 3000 + "such a grobian."
+    docs = spark.createDataFrame([(i, long) for i in range(10)], "doc_id long, text string")
+    got = toxicity.sample(docs, spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, toxic int"))
+    assert got and all(x == (long, 1) for x in got)
+
+
 def test_kernel_is_the_gap_weighted_one():
     def weights(s):
         out = collections.Counter()
