@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 from surfaceloom.shipping import shared_dir, ship
 
 #: Bytes of text that a worker turns into NumPy arrays at once; every array costs eight times as much.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Spark then removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_settled: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +28,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to a table in the shared folder and reads it again: lineage ends here, and lost executors lose nothing."""
+    """Writes df to a table in the shared folder and reads it again: lineage ends here, and lost executors lose nothing.
+
+    The table stays until forget() or release(): what reads it is lazy.
+    """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # so that Spark removes the shuffle files of what no step needs any more
-    return spark.read.schema(schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _settled[spark.sparkContext.applicationId].remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.settled_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that operators have settled in this application; results that weren't written are lost with them."""
+    for path in list(_settled.get(spark.sparkContext.applicationId, ())):
+        _remove(spark, path)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that hands freed memory back at its end, as the worker stays for other steps."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -98,4 +144,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(F.min("v").over(by_u), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.withColumn("m", F.min("v").over(by_u))
         small = small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = settle(small, "edges")
+        before, now = now, settle(small, "edges")
+        forget(before)

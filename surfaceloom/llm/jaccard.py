@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import components, mix, settle, table, text_slices
+from surfaceloom.llm.common import components, forget, lean, mix, settle, table, text_slices
 from surfaceloom.llm.shingles import sets
 
 #: Tokens of a block of a group, and queries that one copy of a block answers.
 BLOCK_TOKENS, BLOCK_QUERIES = 1 << 19, 4096
 #: Sets may be this large; the last level takes what is larger.
 LARGEST = 1 << 40
+#: Classes that a task remembers, so as to hand out their signatures once; more of them are handed out again.
+SEEN = 100_000
 
 
 class Levels:
@@ -120,6 +122,8 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 new = np.zeros(len(size), bool)
                 for i, c in zip(full.tolist(), own[full].tolist(), strict=True):
                     if c not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(c)
                         new[i] = True
                 take = np.repeat(new, size)
@@ -129,7 +133,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(signs[order].view(np.int64)))], ["doc_id", "n_shingles", "class", "signs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long, signs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_shingles long, class long, signs array<long>")
 
 
 def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -204,7 +208,7 @@ def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     dealt = rows.select("grp", "block", "query", "class", "text").repartition("grp", "block").sortWithinPartitions("grp", "block", "query", "class")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def blocks(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,7 +238,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     Rows link when intersection / union of their shingle sets (n words each, A-Z lower-cased) is num/den or more. Empty
     and null texts have no shingles, link with nothing and are their own component, as are rows with a null doc_id that
     link with nothing; repeated rows link with each other. An empty table gives none. Sets are told apart by 64-bit
-    hashes of their shingles and by a 64-bit hash of the whole; texts of any length are taken as a whole.
+    hashes of their shingles and by a 64-bit hash of the whole; texts of any length are taken as a whole. Other columns,
+    whatever their names, are ignored. The links themselves are not listed: of those within a block the ones that join
+    something are kept, which gives the same components.
     """
     base = settle(classes(docs, n, num, den), "classes")
     by_sign = Window.partitionBy("sign")
@@ -253,7 +259,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     texts = settle(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(nodes.select("doc_id", "class").hint("merge"), "doc_id")  # the same plan at every size
-        .mapInArrow(_of_class(n), "class long, text string"),
+        .mapInArrow(lean(_of_class(n)), "class long, text string"),
         "texts",
     )
     heads = nodes.select(F.col("pivot").alias("grp")).distinct()
@@ -293,8 +299,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         .distinct()
     )
     asks = settle(asks, "asks")
+    forget(shared, mixed)
     more = settle(opened(blocks(known.join(asks.select("grp").distinct(), "grp").select("grp", "class", "n"), asks, texts), n, num, den), "links")
     roots = components(first.unionAll(more)).withColumnRenamed("node", "class")
+    forget(texts, nodes, known, asks, first, more)
     found = base.select("doc_id", "n_shingles", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     found = found.where("n_shingles > 0")
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -307,9 +315,11 @@ def _of_class(n: int):
     """Keeps, of rows (doc_id, text, class), those whose text is of the class: a repeated doc_id can have others. One each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = set()
+        last: set[int] = set()
         for batch in batches:
             for part in text_slices(batch):
+                if len(last) >= SEEN:
+                    last.clear()  # repeated rows stand together, and a class that comes twice links with itself
                 tokens, at = sets(part.column("text"), n)
                 size = np.diff(at)
                 sums = np.zeros(len(size), np.uint64)

@@ -21,6 +21,8 @@ from surfaceloom.llm.common import mix, numbered, settle, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BLOCK, SHARD_SLOTS, SEED = (5, 2, 1), Fraction(3, 2), 2, 64, 1 << 16, 7
+#: Shards at most (above SHARD_SLOTS times as many slots shards get larger), and slots that one row is exploded to at most.
+SHARDS, RUN_SLOTS = 1 << 13, 1 << 16
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -76,7 +78,8 @@ class Mix:
 
     sources: source, idx, source_size, target. rows: doc_id, idx, size, start (its first word's place in the source), one
     for each row of docs, repeated ones too. slots: shard, idx, slot, block. pieces: the part of a row in a block, with
-    `times`, how often the mix takes that block. The driver holds a line for each source and for each source of a shard.
+    `times`, how often the mix takes that block. The driver holds a line for each source, for each
+    source of a shard (SHARDS of them at most), and for each partition of the sort of ids.
     `number` names a column that tells rows apart; rows and pieces then carry it.
     """
 
@@ -121,8 +124,12 @@ class Mix:
             key = mix((i * 1_000_003 + j // n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
             return pd.Series(permuted(j % n, n, key))
 
-        shards = spark.createDataFrame(list(draw(self.counts, shard_slots, seed)), "shard long, idx int, first long, n long")
-        self.slots = shards.select("shard", "idx", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")).repartition("shard", "slot").withColumn("block", block_of("idx", "slot"))
+        # the driver holds a line for each source of each of SHARDS shards, whatever the number of words
+        per_shard = max(shard_slots, -(-sum(self.counts) // SHARDS))
+        shards = spark.createDataFrame(list(draw(self.counts, per_shard, seed)), "shard long, idx int, first long, n long")
+        runs = shards.select("shard", "idx", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN_SLOTS))).alias("run"))
+        runs = runs.select("shard", "idx", (F.col("first") + F.col("run") * RUN_SLOTS).alias("low"), (F.col("first") + F.least(F.col("n"), (F.col("run") + 1) * RUN_SLOTS) - 1).alias("high"))
+        self.slots = runs.repartition("shard", "low").select("shard", "idx", F.explode(F.sequence("low", "high")).alias("slot")).withColumn("block", block_of("idx", "slot"))
 
     def pieces(self) -> DataFrame:
         times = self.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
@@ -145,7 +152,8 @@ def shares(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     Null texts have no words and take none; a null source is a source, the last one; a null doc_id sorts first in its
-    source; repeated rows each count. An empty table gives none. A source without words has target 0.
+    source; repeated rows each count; very long texts spread over as many blocks as they fill. An empty table gives none. A
+    source without words has target 0. Columns other than these three, whatever their names, are ignored.
     """
     made = Mix(docs, **options)
     return made.taken().join(made.sources, "idx").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfaceloom.llm import sharding, spans
+from surfaceloom.llm import secrets, sharding, spans, substrings
 
 TOPK = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings)
@@ -45,8 +45,10 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN smalles
 
 ORACLES = {
     "op2_exact_topk": TOPK,
+    "op4_secret_scans": secrets.ORACLE,
     "op5_jaccard_join": JACCARD,
     "op6_embedding_neardup": NEAR,
     "op7_extendible_sharding": sharding.ORACLE,
     "op8_sentence_spans": spans.ORACLE,
+    "op9_suffix_dedup": substrings.ORACLE,
 }

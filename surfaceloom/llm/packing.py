@@ -5,13 +5,17 @@ cut i to cut j costs its padding, a fixed price for each sequence and the price
 `size - (j - i)`, the best i for every j is the smallest `cost[i] + i` among cuts within `size` tokens, which a monotone
 queue hands out in constant time; the windows that need no padding at a power of two are tried one by one.
 
-Each input partition is a stream of its own: nothing is shuffled, a task holds about HORIZON tokens, and a task that is
-run again deals the same sequences (a sequence's number is the partition's number and a running one).
+Each input partition is a stream of its own and one plan: nothing is shuffled. The plan goes on from batch to batch; what
+all its possible continuations have in common is dealt out and forgotten, so a task holds about HORIZON tokens and the
+cuts are those that a plan of the whole stream makes. A task that is run again deals the same sequences (a sequence's
+number is the partition's number and a running one).
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -21,17 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import table
+from surfaceloom.llm.common import lean, table, text_slices
 
 SIZE = 1024
 #: Prices in tokens of padding: for a sequence, and for a cut after a document, after a sentence and inside one.
 SEQUENCE, AFTER = 16, {"document": 0, "sentence": 4, "inside": 24}
 #: Inside a sentence cuts may stand this many tokens apart.
 STEP = 32
-#: Tokens that are planned at once; the plan's last window is planned again with what follows.
-HORIZON = 1 << 17
-#: Words whose ids a worker remembers, and characters of text that it encodes at once.
-CACHE, SOME_CHARS = 600_000, 1 << 22
+#: A stream that holds so many tokens looks for what it can deal out.
+HORIZON = 1 << 16
 END = 0
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,206 +42,201 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of texts by the public byte-level vocabulary, as the tokenizers library gives them for it.
 
-    The vocabulary's pre-tokenizer always breaks before a space that a non-space follows, so a text's ids are those of
-    its space-led words. Words recur, so a worker remembers their ids; all new words of a batch are encoded in one go
-    (by the same vocabulary's rank file, which is faster) and told apart by their leading space. Texts with runs of
-    white space are encoded whole, by tokenizers.
+    They come from the same vocabulary's rank file, whose library is faster, holds less memory and takes special tokens'
+    strings for ordinary text; tests hold it against tokenizers.
     """
 
-    def __init__(self, path: str | None = None, ranks_path: str | None = None):
+    def __init__(self, ranks_path: str | None = None):
         import public_tokenizers
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        words = [""] * self.tokenizer.get_vocab_size()
-        for word, i in self.tokenizer.get_vocab().items():
-            words[i] = word
-        self.ends = np.array([w[-1:] in (".", "!", "?", "Ċ") for w in words])
-        self.spaced = np.array([w[:1] == "Ġ" for w in words])
-        self.opens = self.spaced | np.array([w[:1] == "Ċ" for w in words])
-        self.words: dict[str, bytes] = {}
-        self.blank = regex.compile(r"[\s\x1c-\x1f\x85]").match
-        self.odd = {""}  # words that are empty or begin with white space: no break stands before them
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words)
-        if not new:
-            return
-        self.odd.update(w for w in new if self.blank(w))
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), "<u4")
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(new):
-            self.words.update((w, self.whole(" " + w)) for w in new)
-            return
-        raw, at = ids.tobytes(), (np.append(starts, len(ids)) * 4).tolist()
-        self.words.update((w, raw[a:b]) for w, a, b in zip(new, at[:-1], at[1:], strict=True))
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """One array a text; about SOME_CHARS are taken at once."""
-        run: list[str | None] = []
-        held = 0
-        for text in texts:
-            run.append(text)
-            held += len(text or "")
-            if held > SOME_CHARS:
-                yield from self.encode_run(run)
-                run, held = [], 0
-        yield from self.encode_run(run)
-
-    def encode_run(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").split(" ") for t in texts]
-        firsts = [x.pop(0) for x in split]
-        wanted = set().union(*split)
-        if len(self.words) > CACHE:
-            self.words.clear()
-        self.learn(wanted.difference(self.words))
-        known = self.words.__getitem__
-        for text, first, words in zip(texts, firsts, split, strict=True):
-            if not words or (first and self.odd.isdisjoint(words)):
-                yield np.frombuffer(b"".join([self.whole(first), *map(known, words)]), "<u4")
-            else:
-                yield np.frombuffer(self.whole(text), "<u4")
-
-
-def plan(cuts: list[int], prices: list[int], size: int = SIZE, last: bool = True) -> list[int]:
-    """The cheapest cuts from cuts[0] on. The last position is always cut if last, else the cheapest one near the end.
-
-    cuts: rising positions, none more than `size` after the one before. Ties go to the earlier start.
+        self.tokens = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ends, self.opens = (np.zeros(max(ranks.values()) + 1, bool) for _ in range(2))
+        for word, rank in ranks.items():
+            self.ends[rank] = word[-1:] in (b".", b"!", b"?", b"\n")
+            self.opens[rank] = word[:1] in (b" ", b"\n")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """A text's ids and, behind them, the end id."""
+        return np.array([*self.tokens.encode_ordinary(text or ""), END], "<u4")
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(ranks_path: str | None = None) -> Encoder:
+    """One for each worker."""
+    return Encoder(ranks_path)
+
+
+class Plan:
+    """The cheapest windows over a row of cuts that goes on and on.
+
+    Cuts rise, none stands more than `size` after the one before. Ties go to the earlier start, which only a window that
+    ends in a power of two can beat.
     """
-    n = len(cuts)
-    cost, back = [0] * n, [0] * n
-    at = {c: i for i, c in enumerate(cuts)}
-    queue = deque([0])
-    front = 0
-    powers = [1 << k for k in range(5, size.bit_length()) if 1 << k < size]
-    for j in range(1, n):
-        c = cuts[j]
-        while c - cuts[queue[0]] > size:
-            queue.popleft()
-        front = queue[0]
-        length = c - cuts[front]
-        best = cost[front] + (size - length if length & (length - 1) else 0)
-        for p in powers:
-            i = at.get(c - p)
-            if i is not None and cost[i] < best:
-                best, front = cost[i], i
-        cost[j] = best = best + SEQUENCE + prices[j]
-        back[j] = front
-        key = best + c
-        while queue and cost[queue[-1]] + cuts[queue[-1]] > key:
-            queue.pop()
-        queue.append(j)
-    j = n - 1
-    if not last:
-        # the open end: what is cut so far per token, so that neither short nor long plans are preferred
-        near = [i for i in range(n - 1, 0, -1) if cuts[-1] - cuts[i] < size] or [n - 1]
-        j = min(near, key=lambda i: (cost[i] / cuts[i], -i))
-    found = []
-    while j:
-        found.append(cuts[j])
-        j = back[j]
-    return found[::-1]
+
+    def __init__(self, size: int = SIZE):
+        self.size, self.powers = size, [1 << k for k in range(5, size.bit_length()) if 1 << k < size]
+        self.at, self.cost, self.back = [0], [0], [0]
+        self.queue = deque([0])
+
+    def extend(self, cuts: np.ndarray, prices: np.ndarray) -> None:
+        """Takes more cuts and the price of truncating at each."""
+        size, at, cost, back, queue = self.size, self.at, self.cost, self.back, self.queue
+        base = len(at)
+        low = base
+        while low and at[low - 1] >= at[-1] - size:
+            low -= 1
+        near = np.concatenate([np.array(at[low:], np.int64), cuts])
+        starts, ends = [], []  # windows that are a power of two long
+        for p in self.powers:
+            where = np.searchsorted(near, cuts - p)
+            hit = np.flatnonzero((near[np.minimum(where, len(near) - 1)] == cuts - p) & (where < len(near)))
+            starts.append(where[hit] + low)
+            ends.append(hit + base)
+        order = np.argsort(np.concatenate(ends), kind="stable")
+        starts, ends = np.concatenate(starts)[order].tolist(), [*np.concatenate(ends)[order].tolist(), -1]
+        k, j = 0, base
+        for c, price in zip(cuts.tolist(), prices.tolist(), strict=True):
+            while c - at[queue[0]] > size:
+                queue.popleft()
+            front = queue[0]
+            length = c - at[front]
+            best = cost[front] + (size - length if length & (length - 1) else 0)
+            while ends[k] == j:
+                i = starts[k]
+                k += 1
+                if cost[i] < best:
+                    best, front = cost[i], i
+            best += SEQUENCE + price
+            at.append(c)
+            cost.append(best)
+            back.append(front)
+            key = best + c
+            while queue and cost[queue[-1]] + at[queue[-1]] > key:
+                queue.pop()
+            queue.append(j)
+            j += 1
+
+    def _to(self, j: int) -> list[int]:
+        found = []
+        while j:
+            found.append(self.at[j])
+            j = self.back[j]
+        return found[::-1]
+
+    def settled(self) -> list[int]:
+        """The cuts that every continuation has in common; the plan goes on from the last of them."""
+        n = len(self.at)
+        low = n - 1
+        while low and self.at[low - 1] > self.at[-1] - self.size:
+            low -= 1
+        # ancestors of all places that a later window may start at, until they are one
+        live = [-i for i in range(low, n)]
+        heapq.heapify(live)
+        seen = set(range(low, n))
+        while len(live) > 1:
+            i = self.back[-heapq.heappop(live)]
+            if i not in seen:
+                seen.add(i)
+                heapq.heappush(live, -i)
+        root = -live[0]
+        found = self._to(root)
+        spent = self.cost[root]
+        self.at, self.back = self.at[root:], [0, *(i - root for i in self.back[root + 1 :])]
+        self.cost = [c - spent for c in self.cost[root:]]
+        # of what stands before the root nothing can be a start any more
+        self.queue = deque(i - root for i in self.queue if i >= root)
+        return found
+
+    def finish(self) -> list[int]:
+        """The rest; the last cut is always made."""
+        return self._to(len(self.at) - 1)
 
 
 class Stream:
-    """Documents in, pieces of sequences out; holds about HORIZON tokens."""
+    """Documents in, pieces of sequences out."""
 
     def __init__(self, encoder: Encoder, partition: int, size: int):
-        self.encoder, self.size = encoder, size
+        self.encoder, self.size, self.plan = encoder, size, Plan(size)
         self.next = partition << 40
-        self.parts: list[tuple] = []  # (doc_id, start, ids, ends the document, tokens of the document)
-        self.held = 0
-
-    def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
-        ids = np.append(ids, np.uint32(END)).astype("<u4")
-        for start in range(0, len(ids), HORIZON):
-            part = ids[start : start + HORIZON]
-            self.parts.append((doc_id, start, part, start + HORIZON >= len(ids), len(ids)))
-            self.held += len(part)
-            if self.held >= HORIZON:
-                yield from self.flush(False)
-
-    def cuts(self, ids: np.ndarray, bounds: np.ndarray, closed: list[bool]) -> tuple[list[int], list[int]]:
+        self.docs: deque[tuple] = deque()  # (doc_id, where it begins in the stream, ids)
+        self.end = self.dealt = 0
+        self.patience = HORIZON
+
+    def add(self, docs: list[tuple[int | None, np.ndarray]]) -> Iterator[tuple]:
+        if not docs:
+            return
+        ids = np.concatenate([x for _, x in docs])
         price = np.full(len(ids) + 1, -1, np.int64)
         sentence = self.encoder.ends[ids]
         sentence[:-1] &= self.encoder.opens[ids[1:]]
         price[1:][sentence] = AFTER["sentence"]
-        price[bounds[1:]] = [AFTER["document"] if x else AFTER["inside"] for x in closed]
+        price[np.cumsum([len(x) for _, x in docs])] = AFTER["document"]
         price[0] = 0
-        price[-1] = max(0, price[-1])
         at = np.flatnonzero(price >= 0)
         gaps = np.diff(at)
-        if (gaps > STEP).any():
-            more = np.concatenate([np.arange(a + STEP, b, STEP) for a, b in zip(at[:-1][gaps > STEP], at[1:][gaps > STEP], strict=True)])
+        wide = np.flatnonzero(gaps > STEP)
+        if len(wide):
+            many = (gaps[wide] - 1) // STEP
+            more = np.repeat(at[wide], many) + STEP * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1)
             price[more] = AFTER["inside"]
             at = np.flatnonzero(price >= 0)
-        return at.tolist(), price[at].tolist()
-
-    def flush(self, last: bool) -> Iterator[tuple]:
-        if not self.parts:
-            return
-        ids = np.concatenate([p[2] for p in self.parts])
-        bounds = np.zeros(len(self.parts) + 1, np.int64)
-        np.cumsum([len(p[2]) for p in self.parts], out=bounds[1:])
-        cuts = plan(*self.cuts(ids, bounds, [p[3] for p in self.parts]), self.size, last)
-        k = 0
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
-            at = a
-            while at < b:
-                while bounds[k + 1] <= at:
-                    k += 1
-                doc_id, start, _, _, tokens = self.parts[k]
-                to = min(b, int(bounds[k + 1]))
-                yield doc_id, start + at - int(bounds[k]), to - at, zlib.crc32(ids[at:to].tobytes()), tokens, self.next, at - a
-                at = to
+        self.plan.extend(at[1:] + self.end, price[at[1:]])
+        for doc_id, x in docs:
+            self.docs.append((doc_id, self.end, x))
+            self.end += len(x)
+        if self.end - self.dealt > self.patience:
+            yield from self.deal(self.plan.settled())
+            self.patience = max(HORIZON, 2 * (self.end - self.dealt))
+
+    def close(self) -> Iterator[tuple]:
+        yield from self.deal(self.plan.finish())
+
+    def deal(self, cuts: list[int]) -> Iterator[tuple]:
+        """The pieces of the sequences that end at cuts."""
+        for to in cuts:
+            at = first = self.dealt
+            while at < to:
+                doc_id, begin, ids = self.docs[0]
+                start, stop = at - begin, min(to - begin, len(ids))
+                yield doc_id, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), len(ids), self.next, at - first
+                at = begin + stop
+                if stop == len(ids):
+                    self.docs.popleft()
+            self.dealt = to
             self.next += 1
-        rest, left = [], cuts[-1]
-        for i, (doc_id, start, part, closed, tokens) in enumerate(self.parts):
-            if bounds[i + 1] > left:
-                skip = max(0, left - int(bounds[i]))
-                rest.append((doc_id, start + skip, part[skip:], closed, tokens))
-        self.parts, self.held = rest, len(ids) - left
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) -> DataFrame:
     """Every document's ids, ended by id 0, cut into pieces of sequences of at most `size` tokens (a power of two).
 
     docs: doc_id (long), text. Returns SCHEMA, one row per piece; a sequence is the pieces with its sequence_id by
     offset. Null and empty texts have their end id alone; a null doc_id is kept as it is; repeated rows are packed as
-    often as they occur; very long texts go through in parts; an empty table gives none. Other columns are ignored.
-    A piece never joins two parts of HORIZON tokens, so a document longer than that may have a cut more.
+    often as they occur; very long texts are cut like any other; an empty table gives none. Other columns, whatever their
+    names, are ignored.
     """
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        stream = Stream(Encoder(tokenizer_path), TaskContext.get().partitionId(), size)
+        stream = Stream(encoder(ranks_path), TaskContext.get().partitionId(), size)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-        rows: list[tuple] = []
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), stream.encoder.encode_batch(batch.column(1).to_pylist()), strict=True):
-                rows.extend(stream.add(doc_id, ids))
-                if len(rows) > 20_000:
+            for part in text_slices(batch):
+                texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                if rows := list(stream.add([(doc_id, stream.encoder.encode(text)) for doc_id, text in texts])):
                     yield made(rows)
-                    rows = []
-        rows.extend(stream.flush(True))
-        if rows:
+        if rows := list(stream.close()):
             yield made(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

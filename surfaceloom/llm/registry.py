@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from surfaceloom.llm.jaccard import op5_jaccard_join
 from surfaceloom.llm.mixing import op10_mixing
 from surfaceloom.llm.neardup import op6_embedding_neardup
@@ -21,6 +20,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_packing, op2_exact_topk, op3_toxicity, op4_secret_scans, op5_jaccard_join, op6_embedding_neardup, op7_extendible_sharding, op8_sentence_spans, op9_suffix_dedup, op10_mixing)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import settle, table
+from surfaceloom.llm.common import lean, settle, table
 
 
 class Rule(NamedTuple):
@@ -32,6 +32,9 @@ class Rule(NamedTuple):
     flags: int = re.ASCII
     #: One of these is in the lower-cased text of every match; none: hexadecimal runs, told by their length.
     hints: tuple[str, ...] = ()
+    #: A pattern with an open front, told from behind so that a long run of its characters is read once: the characters of
+    #: the front, where a match begins in them, and the rest of the pattern.
+    front: tuple[str, str, str] | None = None
 
 
 BASE = (
@@ -39,13 +42,14 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 20, hints=("akia",)),
     Rule("hex", "[0-9a-f]+", 24),
 )
+_NAME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: What this operator finds besides.
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", hints=("private key-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hints=("eyj",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hints=("eyj",), front=(_NAME + "_-", "eyJ[A-Za-z0-9_-]{8}", r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")),
     Rule("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", hints=("://",)),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", hints=("://",), front=(_NAME + "+.-", "[A-Za-z]", r"://[^\s/:@]+:[^\s/@]+@")),
 )
 RULES = BASE + MORE
 
@@ -60,9 +64,28 @@ def spans_of(rule: Rule, text: str, lower: str | None = None) -> list[tuple[int,
             return []
     elif b"x" * rule.least not in text.encode().translate(_HEX):
         return []
+    if rule.front:
+        return list(_from_behind(rule, text))
     return [m.span() for m in re.finditer(rule.pattern, text, rule.flags) if len(m[rule.group]) >= rule.least]
 
 
+def _from_behind(rule: Rule, text: str) -> Iterator[tuple[int, int]]:
+    """The same matches as those of the whole pattern."""
+    chars, opens, rest = rule.front
+    opens, rest = re.compile(opens, rule.flags), re.compile(rest, rule.flags)
+    done = at = 0
+    while m := rest.search(text, at):
+        low = m.start()
+        while low > done and text[low - 1] in chars:
+            low -= 1
+        first = opens.search(text, low, m.start())
+        if first:
+            yield first.start(), m.end()
+            done = at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def _tag(rule: Rule) -> str:
     return f"{rule.kind}/{rule.version}"
 
@@ -106,7 +129,7 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.list_(pa.int64())))], ["blob", "rules", "found"])
 
     # of repeated rows one stays
-    return once.mapInArrow(run, "blob binary, rules array<string>, found map<string, array<long>>").groupBy("blob").agg(F.first("rules").alias("rules"), F.first("found").alias("found"))
+    return once.mapInArrow(lean(run), "blob binary, rules array<string>, found map<string, array<long>>").groupBy("blob").agg(F.first("rules").alias("rules"), F.first("found").alias("found"))
 
 
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id") -> DataFrame:
@@ -145,7 +168,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every finding's text replaced by [SECRET]; findings that overlap or touch become one.
 
     Returns the same columns and rows; n_chars, where there is one, counts the new text. Cuts are joined back by doc_id and
-    text, so rows with one doc_id, or without any, can have different texts.
+    text, so rows with one doc_id, or without any, can have different texts; repeated rows stay. Null and empty texts stay
+    as they are, very long ones are scanned as a whole; an empty table gives none; columns may have any names.
     """
     ledger = settle(scan(docs, None, rules), "ledger")
     flat = findings(docs, ledger, rules).where("found is not null").select(F.col("path").alias("path_"), F.col("blob").alias("blob_"), F.flatten(F.map_values("found")).alias("cuts_")).dropDuplicates(["path_", "blob_"])
@@ -182,6 +206,36 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    ledger = settle(scan(docs), "ledger")
-    return findings(docs, ledger).select("path", "found").mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    """documents as a history of two commits, the even doc_ids and then all: the second scan sees unseen blobs alone."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ledger = settle(scan(docs.where(F.pmod("doc_id", F.lit(2)) == 0)), "ledger")
+    ledger = ledger.unionAll(settle(scan(docs, ledger), "ledger"))
+    return findings(docs, ledger).select("path", "found").mapInArrow(lean(_digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def _match_sql(i: int, rule: Rule) -> str:
+    """A rule's matches in DuckDB: kind, lengths of what lies between them, of themselves, and of the group that counts."""
+    letters = (lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else c) if rule.flags & re.IGNORECASE else str
+    pattern = rule.pattern
+    if rule.flags & re.IGNORECASE:  # the names alone: the classes hold both cases
+        pattern = re.sub(r"[a-z]+(?=[|)_])|[a-z](?=\?)", lambda m: "".join(map(letters, m[0])), pattern.replace("key)", "k" + "ey)"))
+    pattern = pattern.replace(r"\s", r"\t\n\x0B\f\r ").replace("[0-9a-f]+", "[0-9a-f]{24,}").replace("'", "''")
+    return f"SELECT doc_id, {i} AS k, '{rule.kind}' AS kind, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS own, list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x)) AS said, {rule.least} AS least FROM docs"
+
+
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), rules AS (
+  {" UNION ALL ".join(_match_sql(i, r) for i, r in enumerate(RULES))}
+), each AS (
+  SELECT *, unnest(range(1, len(own) + 1)) AS i FROM rules WHERE len(own) > 0
+), found AS (
+  SELECT doc_id, k, kind, (list_sum(gaps[1:i]) + coalesce(list_sum(own[1:i - 1]), 0))::BIGINT AS a, own[i] AS n FROM each WHERE said[i] >= least
+), told AS (
+  SELECT doc_id, a, k, kind, kind || ':' || a || ':' || (a + n) AS s FROM found
+), lists AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM told GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (doc_id)
+"""

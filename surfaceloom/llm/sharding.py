@@ -21,7 +21,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     bytes is the text's UTF-8 length, 0 for null. A row above the limit is a shard of its own, as are rows whose hashes
     are the same (repeated ids, and all rows with a null id); these shards alone may be above the limit. A table that
-    fits is one shard of depth 0; an empty one has none.
+    fits is one shard of depth 0; an empty one has none. Other columns, whatever their names, are ignored.
     """
     rows = settle(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")).withColumn(
@@ -55,9 +55,15 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """docs as one folder for each shard. doc_id has to tell rows apart."""
-    at = assign(docs, limit).select(F.col("doc_id").alias("doc_id_"), F.concat(F.lit("s"), "shard").alias("shard"))
-    docs.join(at, docs["doc_id"].eqNullSafe(at["doc_id_"])).drop("doc_id_").repartition("shard").write.partitionBy("shard").parquet(path)
+    """docs as one folder for each shard, each row once.
+
+    Rows with one doc_id, or without any, are in one shard, whatever their texts, so shards are joined back by id. No rows:
+    an empty folder. A column of docs named shard is refused, as the folders have that name.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("docs has a column named shard")
+    at = assign(docs, limit).select(F.col("doc_id").alias("doc_id_"), F.concat(F.lit("s"), "shard").alias("shard")).distinct()
+    docs.join(at, docs["doc_id"].cast("long").eqNullSafe(at["doc_id_"])).drop("doc_id_").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,19 +14,44 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _WORDS = byte_words(3)[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps, and bytes that are hashed at once (a longer word is taken as a whole).
+KEPT = 1 << 19
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """The powers of the base and of its inverse, modulo 2**64; kept between calls."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BACK)):
-            all_ = np.full(max(n, 1 << 16), base)
+    """The powers of the base and of its inverse, modulo 2**64; the first KEPT are kept between calls."""
+
+    def made(count: int) -> list[np.ndarray]:
+        out = []
+        for base in (_BASE, _BACK):
+            all_ = np.full(count, base)
             all_[0] = 1
-            _powers[i] = np.multiply.accumulate(all_)
+            out.append(np.multiply.accumulate(all_))
+        return out
+
+    if n > KEPT:
+        return made(n)
+    if not _powers:
+        _powers.extend(made(KEPT))
     return [_powers[0][:n], _powers[1][:n]]
 
 
+def interval_hashes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, words: np.ndarray = _WORDS) -> np.ndarray:
+    """A number for the bytes in each interval from a to b. Intervals rise and don't overlap; words: byte_words(), by byte."""
+    out = np.empty(len(a), np.uint64)
+    k = 0
+    while k < len(a):
+        to = max(k + 1, int(np.searchsorted(b, a[k] + KEPT // 2, "right")))
+        low, high = a[k], b[to - 1]
+        up, down = powers(int(high - low) + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(words[raw[low:high]] * up[:-1], out=sums[1:])
+        out[k:to] = (sums[b[k:to] - low] - sums[a[k:to] - low]) * down[a[k:to] - low]
+        k = to
+    return mix(out)
+
+
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word, A-Z taken as a-z, and where each row's words start (one more for the end)."""
     raw, starts = joined_bytes(text)
@@ -35,13 +60,9 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_BLANK[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[starts] = True
-    first = inside & (edge[:-1] | ~np.append(False, inside[:-1]))
-    last = inside & (edge[1:] | ~np.append(inside[1:], False))
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_WORDS[raw] * up, out=sums[1:])
-    return mix((sums[b] - sums[a]) * down[a]), np.searchsorted(a, starts)
+    a = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1])))
+    b = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    return interval_hashes(raw, a, b), np.searchsorted(a, starts)
 
 
 def sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:

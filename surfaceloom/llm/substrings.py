@@ -5,42 +5,34 @@ equal anchors. Neighbouring windows with one anchor are a run, and the bytes tha
 2 LENGTH bytes, some 25 windows as a rule. A suffix array of all bytes is thereby thinned out to the suffixes at runs, and
 a suffix to the fingerprint of its stretch.
 
-The family. Runs are dealt by anchor. Each task takes its runs in document order, in batches. A batch is sorted (its
-thinned suffix array), scanned for matches against the sorted levels of what came before, and becomes a level itself;
-levels of about equal size merge, so there are logarithmically many. A stretch that is known is removed as a whole. If a
-new stretch shares its anchor with others, their windows are compared one by one, in a second, smaller family.
+The family. Documents come in batches. A batch's thinned suffixes are sorted and merge-scanned with the levels of what came
+before, in one pass over sorted rows that remembers two of them: a stretch that is known is removed as a whole, the first
+of its kind goes into a new level, and if different stretches share an anchor, their windows are compared one by one.
+Levels are sorted tables in the shared folder; levels of about equal size merge, so there are logarithmically many.
 
-Rows are in proportion to the text however often a passage recurs, and no pairs are made.
+Rows are in proportion to the text however often a passage recurs, and no pairs are made. Windows of an anchor that few
+stretches share are compared in memory, an anchor at a time; of the others each window is a row of a sort.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import SLICE_BYTES, byte_words, mix, settle, table, text_key
+from surfaceloom.llm.common import SLICE_BYTES, byte_words, lean, mix, settle, table, text_key, text_slices
 from surfaceloom.llm.shingles import powers
 
 LENGTH, SEED = 100, 32
-#: Rows of a batch of the family, and bytes of a very long text that are looked at together (less than 2**24).
-BATCH, PART = 1 << 16, 1 << 22
+#: Bytes of a very long text that are looked at together (less than 2**24), stretches that are compared together, and
+#: stretches of an anchor above which its windows are sorted by Spark.
+PART, SOME, HOT = 1 << 19, 1 << 12, 1 << 12
 _WORDS = byte_words(11)
 _NONE = -(1 << 63)
-#: A document: its doc_id and the hash that tells it from others with the same.
-DOC = np.dtype([("doc", np.int64), ("own", np.int64)])
-
-
-def _docs(doc: pa.Array, own: pa.Array) -> np.ndarray:
-    out = np.empty(len(doc), DOC)
-    out["doc"], out["own"] = doc.to_numpy(), own.to_numpy()
-    return out
-
-
 class Hashes:
     """Fingerprints of any substrings of some bytes."""
 
@@ -120,151 +112,179 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield flush()
 
 
+@lean
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = _docs(batch.column("doc"), batch.column("own"))
+        doc, own = batch.column("doc").to_numpy(), batch.column("own").to_numpy()
         for row, offset, raw, starts in texts_of(batch):
-            text, first, length, anchor, mark, own = runs(raw, starts)
-            doc = ids[row[text]] if len(text) else ids[:0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(doc["doc"]), pa.array(doc["own"]), pa.array((first + offset[text]) << 8 | length << 1 | own if len(text) else text)],
-                ["anchor", "mark", "doc", "own", "at"],
-            )
-
-
-class Family:
-    """Sorted levels of fingerprints, each with the first place where it stands; equal-sized levels merge."""
-
-    def __init__(self):
-        #: key (rising), anchor, doc, at and whether its windows are compared one by one
-        self.levels: list[list[np.ndarray]] = []
-
-    def add(self, key: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes rows in document order. Returns which are known from earlier places, and which are the first of theirs."""
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.append(True, sorted_[1:] != sorted_[:-1])
-        head = order[np.flatnonzero(new)]
-        of_row = head[np.cumsum(new) - 1]  # in sorted order: the first row of its key
-        known = np.zeros(len(key), bool)
-        # a place that comes twice is a repeated row, not a repetition
-        known[order] = (doc[order] != doc[of_row]) | (at[order] != at[of_row])
-        first = np.zeros(len(key), bool)
-        first[head] = True
-        for level in self.levels:
-            where = np.minimum(np.searchsorted(level[0], key[head]), len(level[0]) - 1)
-            found = level[0][where] == key[head]
-            if found.any():
-                first[head[found]] = False
-                place = np.full(len(key), -1)
-                place[head[found]] = where[found]
-                place[order] = place[of_row]
-                here = np.flatnonzero(place >= 0)
-                known[here] = (level[2][place[here]] != doc[here]) | (level[3][place[here]] != at[here])
-        kept = order[first[order]]
-        if len(kept):
-            self.levels.append([x[kept] for x in (key, anchor, doc, at, told)])
-            while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-                merged = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
-                by_key = np.argsort(merged[0], kind="stable")
-                self.levels.append([x[by_key] for x in merged])
-        return known, first
-
-    def variants(self, anchor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of entries with one of these anchors that weren't given out yet: anchor, doc, at. From now on they are."""
-        wanted = np.unique(anchor)
-        out = []
-        for level in self.levels:
-            near = np.minimum(np.searchsorted(wanted, level[1]), len(wanted) - 1)
-            hit = np.flatnonzero((wanted[near] == level[1]) & ~level[4])
-            level[4][hit] = True
-            out.append((level[1][hit], level[2][hit], level[3][hit]))
-        return out
-
-    def anchors(self, anchor: np.ndarray) -> np.ndarray:
-        """Which of these are an entry's anchor."""
-        out = np.zeros(len(anchor), bool)
-        for level in self.levels:
-            out |= np.isin(anchor, level[1])
-        return out
-
-
-def _batched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= BATCH:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Known stretches (no anchor), and those whose windows have to be compared (with it)."""
-    family = Family()
-    for rows in _batched(batches):
-        anchor, mark, at = (rows.column(i).to_numpy() for i in ("anchor", "mark", "at"))
-        doc = _docs(rows.column("doc"), rows.column("own"))
-        key = mix(anchor.view(np.uint64) ^ mix(mark.view(np.uint64)))
-        seen = family.anchors(anchor)
-        known, first = family.add(key, anchor, doc, at, np.zeros(len(at), bool))
-        fresh = np.flatnonzero(first)
-        names, count = np.unique(anchor[fresh], return_counts=True)
-        many = names[count > 1]
-        again = np.isin(anchor[fresh], many) | seen[fresh] | ((at[fresh] & 1) == 1)
-        found = family.variants(anchor[fresh][again]) if again.any() else []
-        a = np.concatenate([x[0] for x in found] or [anchor[:0]])
-        out_doc = np.concatenate([doc[known], *(x[1] for x in found)])
-        out_at = np.concatenate([at[known], *(x[2] for x in found)])
-        no_anchor = np.concatenate([np.ones(known.sum(), bool), np.zeros(len(a), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc["doc"]), pa.array(out_doc["own"]), pa.array(out_at), pa.array(np.concatenate([np.zeros(known.sum(), np.int64), a]), mask=no_anchor)], ["doc", "own", "at", "anchor"])
+            text, first, length, anchor, mark, again = runs(raw, starts)
+            if len(text):
+                at = (first + offset[text]) << 8 | length << 1 | again
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor.view(np.int64), mark.view(np.int64), doc[row[text]], own[row[text]], at)], ["anchor", "mark", "doc", "own", "at"])
+
+
+#: The places of a key in the order of arrival.
+PLACE = ("batch", "doc", "own", "at")
+#: What a scan says of a row: its stretch is known, its windows have to be compared, or it is the first of its kind.
+KNOWN, ASKED, FIRST = range(3)
+
+
+def _scan(current: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The merge scan: rows of a batch and of the levels, sorted by anchor, mark and PLACE."""
+    names = ["anchor", "mark", *PLACE]
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * len(names)  # of the last anchor the first key's and the last key's first row
+        sent = np.zeros(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(sent)
+            rows = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=True)]
+            sent = np.append(sent, np.zeros(batch.num_rows, bool))
+            anchor, mark, number, *_, at = rows
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1]))
+            head = np.flatnonzero(new)
+            first = head[np.cumsum(new) - 1]
+            # a place that comes twice is a repeated row, not a repetition
+            known = np.flatnonzero(~new & (number == current) & np.logical_or.reduce([c != c[first] for c in rows[2:]]))
+            group = np.cumsum(np.append(True, anchor[head[1:]] != anchor[head[:-1]])) - 1
+            ask = ((np.bincount(group) > 1)[group] | (at[head] & 1 == 1)) & ~sent[head]
+            fresh = head[(head >= old) & (number[head] == current)]
+            take = np.concatenate([known, head[ask], fresh])
+            kind = np.repeat(np.array([KNOWN, ASKED, FIRST], np.int32), [len(known), ask.sum(), len(fresh)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(c[take]) for c in rows)], ["kind", *names])
+            sent[head[ask]] = True
+            keep = np.unique([head[np.searchsorted(group, group[-1])], head[-1]])
+            held, sent = [c[keep] for c in rows], sent[keep]
+
+    return run
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs asked for: anchor, doc, own, at, bytes."""
+    """The bytes of the runs asked for."""
+    names = ["anchor", "hot", "batch", "doc", "own", "at"]
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc, own, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
-            text = text.as_py() or b""
-            for r in asked:
-                start, length = r["at"] >> 8, (r["at"] & 255) >> 1
-                for col, x in zip(out, (r["anchor"], doc, own, r["at"], text[start : start + length - 1 + LENGTH]), strict=True):
-                    col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc", "own", "at", "bytes"])
-
-
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Known windows of the stretches, as runs: doc, own, at."""
-    family, last, documents = Family(), None, 0
+        for part in text_slices(batch):
+            out: tuple[list, ...] = tuple([] for _ in range(7))
+            for doc, own, text, asked in zip(part.column("doc").to_pylist(), part.column("own").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("asked").to_pylist(), strict=True):
+                for r in asked:
+                    start, length = r["at"] >> 8, (r["at"] & 255) >> 1
+                    for col, x in zip(out, (r["anchor"], r["hot"], r["batch"], doc, own, r["at"], text[start : start + length - 1 + LENGTH]), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()), strict=True)], [*names, "bytes"])
+
+
+def _windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of the stretches: the row, its place in the text, and its fingerprint, told apart by anchors."""
+    raw = rows.column("bytes").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    count = np.diff(starts) - LENGTH + 1
+    row = np.repeat(np.arange(len(raw)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = starts[row] + place
+    anchor = rows.column("anchor").to_numpy()[row].view(np.uint64)
+    key = mix(anchor ^ mix(Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(begin, begin + LENGTH, 3)))
+    return row, (rows.column("at").to_numpy()[row] >> 8) + place, key
+
+
+def _compare(current: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Known windows of the current batch's stretches, as runs; rows by anchor and PLACE."""
+
+    def known(rows: pa.Table) -> pa.RecordBatch:
+        number, doc, own = (rows.column(c).to_numpy() for c in PLACE[:3])
+        row, place, key = _windows(rows)
+        order = np.argsort(key, kind="stable")  # the places of a key rise, as rows do
+        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        first = np.empty(len(key), np.int64)
+        first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        a, b = row, row[first]
+        other = (number[a] != number[b]) | (doc[a] != doc[b]) | (own[a] != own[b]) | (place != place[first])
+        hit = np.flatnonzero(other & (number[a] == current))
+        start = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]))) if len(hit) else hit
+        length = np.diff(np.append(start, len(hit)))
+        low = hit[start]
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[low]]), pa.array(own[row[low]]), pa.array(place[low] << 8 | length << 1)], ["doc", "own", "at"])
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, SOME):
+                part = pa.Table.from_batches([batch.slice(start, SOME)])
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.num_rows >= SOME:
+                    anchor = held.column("anchor").to_numpy()
+                    whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                    if whole:
+                        yield known(held.slice(0, whole))
+                        held = held.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield known(held)
+
+    return run
+
+
+@lean
+def _each_window(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 1 << 13):
-            rows = batch.slice(a, 1 << 13)
-            anchor, at, doc = rows.column(0).to_numpy(), rows.column(3).to_numpy(), _docs(rows.column(1), rows.column(2))
-            raw = rows.column(4).to_pylist()
-            # rows of a document stand together: the many windows carry a running number in its place
-            new = np.append(last is None or doc[0] != last, doc[1:] != doc[:-1])
-            number, last = documents + np.cumsum(new), doc[-1]
-            documents = int(number[-1])
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-            count = np.diff(starts) - LENGTH + 1
-            row = np.repeat(np.arange(len(raw)), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            begin = starts[row] + place
-            key = mix(anchor[row].view(np.uint64) ^ mix(Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(begin, begin + LENGTH, 3)))
-            known, _ = family.add(key, anchor[row], number[row], (at[row] >> 8) + place, np.ones(len(row), bool))
-            hit = np.flatnonzero(known)
-            if len(hit):
-                first = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])))
-                length = np.diff(np.append(first, len(hit)))
-                low = hit[first]
-                found = doc[row[low]]
-                yield pa.RecordBatch.from_arrays([pa.array(found["doc"]), pa.array(found["own"]), pa.array(((at[row[low]] >> 8) + place[low]) << 8 | length << 1)], ["doc", "own", "at"])
+        for start in range(0, batch.num_rows, SOME):
+            rows = pa.Table.from_batches([batch.slice(start, SOME)])
+            row, place, key = _windows(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(rows.column(c).to_numpy()[row]) for c in PLACE[:3]), pa.array(place)], ["key", *PLACE])
 
 
+class Family:
+    """The levels, and what is asked of them: add() takes batches in the order of arrival.
+
+    Levels hold the thinned suffixes that are the first of their kind (anchor, mark, PLACE). texts_of_earlier batches are
+    kept as they were given, as an earlier stretch is looked up again when another one shares its anchor.
+    """
+
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.texts: DataFrame | None = None
+        self.batches = 0
+
+    def add(self, keyed: DataFrame, last: bool = False) -> DataFrame:
+        """doc, own and at of the batch's known windows: runs, each start << 8 | windows << 1.
+
+        keyed: doc, own, text. If it is the last batch, no level is made of it.
+        """
+        current, self.batches = self.batches, self.batches + 1
+        self.texts = keyed if self.texts is None else self.texts.unionAll(keyed)
+        order = ("anchor", "mark", *PLACE)
+        found = keyed.mapInArrow(_runs, "anchor long, mark long, doc long, own long, at long").select("anchor", "mark", F.lit(current).cast("long").alias("batch"), "doc", "own", "at")
+        for _, level in self.levels:
+            found = found.unionAll(level)
+        scanned = found.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_scan(current), "kind int, " + ", ".join(f"{c} long" for c in order))
+        decided = settle(scanned.where(F.col("kind") != FIRST) if last else scanned, "suffixes")
+        if not last:
+            self._grow(decided.where(F.col("kind") == FIRST).select(*order))
+        asked = decided.where(F.col("kind") == ASKED)
+        hot = asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
+        asked = asked.join(hot, "anchor", "left").groupBy("doc", "own").agg(F.collect_list(F.struct("anchor", "batch", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))  # a document's own runs
+        pieces = settle(self.texts.join(asked, ["doc", "own"]).select("doc", "own", "text", "asked").mapInArrow(lean(_stretches), "anchor long, hot boolean, batch long, doc long, own long, at long, bytes binary"), "stretches")
+        few = pieces.where(~F.col("hot")).repartition("anchor").sortWithinPartitions("anchor", *PLACE).mapInArrow(_compare(current), "doc long, own long, at long")
+        # the windows of the other anchors by one aggregate each, which adds up in parts
+        places = pieces.where("hot").mapInArrow(_each_window, "key long, " + ", ".join(f"{c} long" for c in PLACE))
+        firsts = places.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"))
+        many = places.join(firsts, "key").where((F.col("batch") == current) & (F.struct(*PLACE) != F.col("first"))).select("doc", "own", F.shiftleft("at", 8).bitwiseOR(F.lit(2)).alias("at"))
+        return decided.where(F.col("kind") == KNOWN).select("doc", "own", "at").unionAll(few).unionAll(many)
+
+    def _grow(self, first: DataFrame) -> None:
+        """A new level; those of about equal size become one."""
+        self.levels.append((first.count(), first))
+        while len(self.levels) > 1 and self.levels[-2][0] < 2 * self.levels[-1][0]:
+            (m, a), (n, b) = self.levels.pop(-2), self.levels.pop()
+            merged = settle(a.unionAll(b).repartition("anchor").sortWithinPartitions("anchor", "mark", *PLACE), "level")
+            self.levels.append((m + n, merged))
+
+
+@lean
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole)):
         out: tuple[list, ...] = ([], [], [], [])
         for text, known in zip(batch.column("text").cast(pa.binary()), batch.column("known"), strict=True):
             raw = np.frombuffer(text.as_py() or b"", np.uint8)
@@ -282,35 +302,61 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc (doc_id; null is -2**63), own (text_key()) and known: runs of windows that also start earlier, each
-    start << 8 | windows << 1."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), text_key().alias("own"), F.col("text").cast("string").alias("text"))
-    order = ("doc", "own", "at")
-    found = keyed.mapInArrow(_runs, "anchor long, mark long, doc long, own long, at long").repartition("anchor").sortWithinPartitions(*order)
-    decided = settle(found.mapInArrow(_decide, "doc long, own long, at long, anchor long"), "decided")
-    asked = decided.where("anchor is not null").groupBy("doc", "own").agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))  # a document's own runs
-    pieces = keyed.join(asked, ["doc", "own"]).select("doc", "own", "text", "asked").mapInArrow(_stretches, "anchor long, doc long, own long, at long, bytes binary")
-    windows = settle(pieces.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_compare, "doc long, own long, at long"), "windows")
-    return decided.where("anchor is null").select(*order).unionAll(windows).groupBy("doc", "own").agg(F.collect_list("at").alias("known"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (doc_id; null is -2**63), own (text_key()) and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), text_key().alias("own"), F.col("text").cast("string").alias("text"))
+
+
+def repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """doc, own and known: runs of windows that also start earlier, each start << 8 | windows << 1. docs goes into the
+    family in `batches` parts, by doc_id."""
+    rows = keyed(docs)
+    bounds = sorted(set(docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) or ())) if batches > 1 else []
+    family, found, low = Family(), None, None
+    for high in [*map(int, bounds), None]:
+        part = rows if low is None else rows.where(F.col("doc") > low)
+        part = part if high is None else part.where(F.col("doc") <= high)
+        now = settle(family.add(part, last=high is None), "known")
+        found, low = now if found is None else found.unionAll(now), high
+    return found.groupBy("doc", "own").agg(F.collect_list("at").alias("known"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs.
 
     Earlier is a smaller doc_id, or an earlier start in the same document. Null and empty texts have no bytes; texts
     shorter than LENGTH keep all; a null doc_id comes before all others. Texts with one doc_id, or without any, are
     documents of their own, in the order of a hash; repeated rows count as one document, which does not repeat itself at
-    the same place. An empty table gives none.
+    the same place. An empty table gives none. Very long texts are looked at in overlapping parts. Other columns,
+    whatever their names, are ignored. The result is the same for any number of batches.
     """
-    known = repeats(docs)
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), text_key().alias("own"), F.col("text").cast("string").alias("text"))
-        .join(known, ["doc", "own"], "left")
-        .select("doc_id", "text", "known")
-        .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = named.select("doc_id", F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), text_key().alias("own"), "text")
+    return rows.join(repeats(named, batches), ["doc", "own"], "left").select("doc_id", "text", "known").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, {2 * LENGTH})) AS w FROM (SELECT doc_id, x, unnest(range(0, n - {LENGTH - 1})) AS p FROM docs)
+), known AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS place FROM windows) WHERE place > 1
+), runs AS (
+  SELECT doc_id, p, sum(CASE WHEN p <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS before FROM known)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM runs GROUP BY doc_id, run
+), ends AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS high FROM (
+    SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n + 1 FROM docs)
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * low + 1, 2 * (high - low)), '' ORDER BY high, low) AS k FROM ends JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, (n - strlen(k) // 2)::BIGINT AS n_removed, coalesce(s.c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM spans GROUP BY doc_id) AS s USING (doc_id)
+"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import settle, table
+from surfaceloom.llm.common import lean, settle, table
 from surfaceloom.llm.vectors import proper, width
 
 SCALE, K, SHELL = 1024, 10, 512
@@ -81,23 +81,28 @@ def search(df: DataFrame, asked: str = "vec_id % 100 = 0", k: int = K) -> DataFr
 
     Components are taken as floor(1024 * x). Rows with a null vec_id, and vectors that are null, of another length than
     most, or hold null or non-finite components take no part. Ties go to the smaller vec_id. Rows that repeat a query's
-    vec_id are the query itself; other repeated rows are answers of their own. Fewer than k others: all of them. An empty
-    table gives none.
+    vec_id are the query itself, by the vector whose bytes sort first if they differ; other repeated rows are answers of
+    their own. Fewer than k others: all of them. An empty table gives none. Other columns, whatever their names, are
+    ignored.
     """
     size = width(df)
     schema = "vec_id long, vector binary, square double"
+    # vectors travel in the narrowest type that holds every component
+    proper_ = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    peak = df.agg(F.max(F.array_max(F.transform(F.filter("embedding", proper_), lambda v: F.abs(v.cast("double")))))).first()[0] or 0.0
+    kind = next((k for k, most in (("<i2", 2**15), ("<i4", 2**31)) if SCALE * (peak + 1) < most), "<f8")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = proper(batch.column(1), size)
             x = scaled(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array((x * x).sum(1))], ["vec_id", "vector", "square"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([v.astype(kind).tobytes() for v in x], pa.binary()), pa.array((x * x).sum(1))], ["vec_id", "vector", "square"])
 
-    packed = settle(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInArrow(pack, schema), "vectors")
+    packed = settle(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInArrow(lean(pack), schema), "vectors")
     longest = packed.agg(F.max("square")).first()[0]
     if longest is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    load = lambda raw: np.frombuffer(b"".join(raw), np.float64).reshape(-1, size)
+    load = lambda raw: np.frombuffer(b"".join(raw), kind).reshape(-1, size).astype(np.float64)
     sample = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(FIT_ROWS).select("vector").collect()  # bounded
     space = Space(longest, load([bytes(r.vector) for r in sample]))
 
@@ -132,8 +137,8 @@ def search(df: DataFrame, asked: str = "vec_id % 100 = 0", k: int = K) -> DataFr
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["block", "pivot", "low", "high", "ids", "vectors"])
 
-    placed = packed.select("vec_id", "vector").mapInArrow(place, "vec_id long, vector binary, pivot int, distance double")
-    index = settle(placed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id").mapInArrow(shells, BLOCK), "index")
+    placed = packed.select("vec_id", "vector").mapInArrow(lean(place), "vec_id long, vector binary, pivot int, distance double")
+    index = settle(placed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id").mapInArrow(lean(shells), BLOCK), "index")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with the annuli that may hold its answers, after a look into its own."""
@@ -166,11 +171,11 @@ def search(df: DataFrame, asked: str = "vec_id % 100 = 0", k: int = K) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     homes = index.select(F.explode("ids").alias("query_id"), "block").where(asked.replace("vec_id", "query_id")).dropDuplicates(["query_id"])
-    queries = homes.join(packed.select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"]), "query_id")
-    asks = settle(queries.join(index, "block").select("query_id", "vector", "ids", "vectors").mapInArrow(ask, 'query_id long, vector binary, pivot int, `from` double, `to` double'), "asks")
+    queries = homes.join(packed.where(asked).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector")), "query_id")
+    asks = settle(queries.join(index, "block").select("query_id", "vector", "ids", "vectors").mapInArrow(lean(ask), 'query_id long, vector binary, pivot int, `from` double, `to` double'), "asks")
     open_ = asks.join(index.select("block", "pivot", "low", "high"), "pivot").where("low <= to and high >= from").select("block", "query_id", "vector", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("vectors"))
     blocks = index.select("block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("binary").alias("vector"), "ids", "vectors")
-    answers = open_.unionAll(blocks).repartition("block").sortWithinPartitions("block", F.col("query_id").asc_nulls_first()).mapInArrow(answer, "query_id long, vec_id long, score long")
+    answers = open_.unionAll(blocks).repartition("block").sortWithinPartitions("block", F.col("query_id").asc_nulls_first()).mapInArrow(lean(answer), "query_id long, vec_id long, score long")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -4,20 +4,24 @@ The kernel counts the letter triples that two strings share as subsequences, eac
 power of its span (at most SPAN characters), normalised: a letter put between two others weakens a triple a little, in
 both the string and its own norm, so a gapped insult stays close to the plain one. What is no letter is a gap.
 
-Training. Labels stand for documents, so their sentences inherit them; in the sentences of toxic documents the words that
-tell the labels apart are witnesses, and sentences with one are the toxic examples. The strings of the examples are
-mapped onto landmarks (Nyström), a linear machine is trained there by dual coordinate ascent, and two rounds add the
-clean strings that it gets wrong. A logistic curve takes a document's best and second-best string and its number of hits
-to a probability. The sum over landmarks is linear in a string's triples, so scoring needs one weight for each triple.
+A sentence is a bag of strings: its words, and its runs of neighbouring words with all that is no letter taken out, which
+is how an insult with blanks inside, or one of two words, becomes one string. Labels stand for documents, so their
+sentences inherit them, and a bag counts by its worst string (multiple-instance learning): in the sentences of toxic
+documents the strings that tell the labels apart are witnesses and examples of label 1, every string of clean sentences
+is an example of label 0. The examples are mapped onto landmarks (Nyström), a linear machine is trained there by dual
+coordinate ascent, and two rounds add the clean strings that it gets wrong. A logistic curve takes a document's best
+two strings and its number of hits to a probability. The sum over landmarks is linear in a string's triples, so
+scoring needs one weight for each triple, and the values of all runs of a text come out of running sums.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import table
+from surfaceloom.llm.common import lean, table, text_slices
 
 DECAY, SPAN, WINDOW, STRIDE = 0.7, 9, 24, 12
 LETTERS = 26
-#: Rows that the machine is fitted on, at most; the whole text of each.
-FIT_ROWS = 4000
-#: Landmarks of either kind, and clean strings of the first round.
-TOXIC_MARKS, CLEAN_MARKS, CLEAN_STRINGS = 48, 80, 3000
-CACHE, SOME_CHARS = 400_000, 1 << 22
+#: A run of words: letters and words at most.
+RUN_LETTERS, RUN_WORDS = 14, 7
+#: Bounds of the fit: labelled rows, the bytes of their texts in sum (each row's text is taken as a whole or not at all),
+#: landmarks of either kind, clean strings of the first round, and wrong ones that a round adds.
+FIT_ROWS, FIT_BYTES = 4000, 1 << 25
+TOXIC_MARKS, CLEAN_MARKS, CLEAN_STRINGS, WRONG_STRINGS = 48, 80, 3000, 400
+#: Words whose values a worker remembers (about 150 bytes each), and triples that are looked at together.
+CACHE, ENTRIES = 100_000, 200_000
 
 _CODE = np.full(256, LETTERS, np.uint8)
 _CODE[97:123] = np.arange(26)
@@ -64,7 +71,7 @@ class Strings:
             if n not in cls.combos:
                 cls.combos[n] = _combos(n)
             at, weight = cls.combos[n]
-            some = max(1, 600_000 // len(at))
+            some = max(1, ENTRIES // len(at))
             for a in range(0, len(which), some):
                 own = np.array(which[a : a + some])
                 codes = _CODE[np.frombuffer("".join([strings[i] for i in own]).encode("latin-1", "replace"), np.uint8)].reshape(len(own), n).astype(np.int32)
@@ -97,7 +104,10 @@ class Strings:
             if matrix.ndim == 1:
                 out[own] = np.bincount(row, w * matrix[triple], len(own))
             else:
-                np.add.at(out, own[row], w[:, None] * matrix[triple])
+                for a in range(0, len(row), 20_000):  # a block holds as many products as there are columns
+                    r = row[a : a + 20_000]
+                    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                    out[own[r[first]]] += np.add.reduceat(w[a : a + 20_000, None] * matrix[triple[a : a + 20_000]], first)
         return out
 
 
@@ -112,6 +122,66 @@ def tokens(text: str) -> set[str]:
     return found
 
 
+@functools.lru_cache(maxsize=1)
+def _least_norms() -> np.ndarray:
+    """The norm of a string of n letters if none of its triples occurs twice; others are longer."""
+    return np.array([np.sqrt((_combos(n)[1] ** 2).sum()) if n > 2 else 1.0 for n in range(RUN_LETTERS + 1)])
+
+
+class Runs(NamedTuple):
+    """The runs of some texts: where each begins and ends in the row of all their letters, and its text."""
+
+    letters: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Runs:
+        raw = np.frombuffer("\n".join([*texts, ""]).encode("latin-1", "replace"), np.uint8)
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        stop = (raw == 46) | (raw == 33) | (raw == 63)
+        code = _CODE[raw]
+        at = np.flatnonzero(code < LETTERS)
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return cls(code[at].astype(np.int32), none, none, none)
+        word = np.cumsum(blank)[at]
+        sentence = np.cumsum((raw == 10) | (stop & np.append(blank[1:], True)))[at]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        stops, sentence = np.append(first[1:], len(at)), sentence[first]
+        begin, end = [], []
+        for more in range(1, RUN_WORDS):
+            if more >= len(first):
+                break
+            a, b = first[:-more], stops[more:]
+            ok = (sentence[:-more] == sentence[more:]) & (b - a <= RUN_LETTERS) & (b - a > 2)
+            begin.append(a[ok])
+            end.append(b[ok])
+        begin, end = (np.concatenate(x) if x else none for x in (begin, end))
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        return cls(code[at].astype(np.int32), begin, end, np.searchsorted(bounds, at[begin], "right"))
+
+    def bounds(self, triples: np.ndarray) -> np.ndarray:
+        """What the normalised value of each run is at most, if it is positive: of every triple each occurrence, summed up."""
+        x, n = self.letters, len(self.letters)
+        total = np.zeros(len(self.begin))
+        far, near = x * LETTERS**2, x * LETTERS
+        for span in range(2, SPAN):
+            if n <= span:
+                break
+            sums = np.zeros(n - span + 1)
+            value = np.zeros(n - span)
+            for middle in range(1, span):
+                value += triples[far[: n - span] + near[middle : n - span + middle] + x[span:]]
+            np.cumsum(value * DECAY ** (span + 1), out=sums[1:])
+            total += sums[np.clip(np.maximum(self.begin, self.end - span), 0, n - span)] - sums[np.minimum(self.begin, n - span)]
+        return total / _least_norms()[self.end - self.begin]
+
+    def string(self, i: int) -> str:
+        return (self.letters[self.begin[i] : self.end[i]] + 97).astype(np.uint8).tobytes().decode()
+
+
 class Model(NamedTuple):
     """Weights of triples, bias, and the logistic curve's coefficients; the last is its constant."""
 
@@ -126,12 +196,27 @@ class Model(NamedTuple):
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         return np.maximum.reduceat(values, starts) if len(found) else np.zeros(0)
 
-    def features(self, values: list[float]) -> list[float]:
-        top = sorted(values, reverse=True)[:2]
-        return [max(-3.0, top[0]) if top else -3.0, max(-3.0, top[1]) if len(top) > 1 else -3.0, np.log1p(sum(v > 0 for v in values)), 1.0]
+    def runs(self, texts: list[str], least: float = 0.0) -> list[dict[str, float]]:
+        """Of each text the runs with a value above `least`, and these."""
+        out: list[dict[str, float]] = [{} for _ in texts]
+        found = Runs.of(texts)
+        some = np.flatnonzero(found.bounds(self.triples) + self.bias > least)
+        named = [found.string(i) for i in some.tolist()]
+        distinct = list(dict.fromkeys(named))
+        values = dict(zip(distinct, (Strings.times(distinct, self.triples) + self.bias).tolist(), strict=True))
+        for i, s in zip(found.text[some].tolist(), named, strict=True):
+            if values[s] > least:
+                out[i][s] = values[s]
+        return out
+
+    def features(self, values: list[float], runs: dict[str, float]) -> list[float]:
+        """Of a text's words and of its runs with a positive value: a run counts like a word."""
+        top = sorted([*values, *runs.values()], reverse=True)[:2]
+        top = [max(-1.0, v) for v in [*top, -1.0, -1.0]]
+        return [top[0], top[1], np.log1p(sum(v > 0 for v in values) + len(runs)), 1.0]
 
     def probability(self, rows: list[list[float]]) -> np.ndarray:
-        z = np.array(rows).reshape(-1, 4) @ self.curve
+        z = np.array(rows).reshape(-1, len(self.curve)) @ self.curve
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -159,13 +244,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _letters(word: str) -> str:
+    return re.sub("[^a-z]", "", word.lower())
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """rows: text and label. Without both labels, or without telling words, the base rate is all that is learnt."""
-    sentences = [(label, [tokens(s) for s in _SENTENCE.split(text)]) for text, label in rows]
+    one: dict[str, str] = {}  # equal words are one object
+    sentences = [(label, [tuple(one.setdefault(t, t) for t in tokens(s)) for s in _SENTENCE.split(text)]) for text, label in rows]
     toxic = sum(label for label, _ in sentences)
     rate = (toxic + 0.5) / (len(rows) + 1) if rows else 0.01
     flat = Model(np.zeros(LETTERS**3), -1.0, np.array([0, 0, 0, np.log(rate / (1 - rate))]))
-    fold = lambda t: re.sub("[^a-z]", "", t.lower())
+    fold = functools.lru_cache(1 << 16)(_letters)
     seen, copies = {0: Counter(), 1: Counter()}, set()
     for (text, _), (label, found) in zip(rows, sentences, strict=True):
         all_, row = {fold(t) for s in found for t in s}, text.split()
@@ -176,13 +266,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     toxic, clean_ = (sum(m[0] == label for m in copies) for label in (1, 0))
     odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((seen[0][t] + 0.5) / (clean_ + 1)) for t, n in seen[1].items() if len(t) >= 3 and n >= 3}
     # twenty times likelier in a toxic document, also if it had come a standard deviation less often
-    witness = {t for t, v in odds.items() if v + np.log(1 - seen[1][t] ** -0.5) > 3 or (v > 3 and seen[1][t] >= 5 and seen[0][t] == 0)}
-    if not witness:
+    telling = lambda t: odds[t] + np.log(1 - seen[1][t] ** -0.5) > 3 or (odds[t] > 3 and seen[1][t] >= 5 and seen[0][t] == 0)
+    witness = {t for t in odds if telling(t)}
+    both = _pairs(rows, witness, fold)
+    seen[0].update(both[0])
+    seen[1].update(both[1])
+    odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((seen[0][t] + 0.5) / (clean_ + 1)) for t, n in both[1].items() if t not in odds}
+    pairs = {t for t in odds if telling(t)}
+    if not witness | pairs:
         return flat
-    good = Counter(t for label, found in sentences if label for s in found for t in {fold(t) for t in s} & witness)
+    good = Counter(t for label, found in sentences if label for s in found for t in {fold(t) for t in s} & witness) + Counter({t: seen[1][t] for t in pairs})
     bad = Counter(t for label, found in sentences if not label for s in found for t in {fold(t) for t in s} - witness if len(t) >= 3)
     marked = [t for t, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))][:TOXIC_MARKS]
-    pool = [t[:WINDOW] for t, _ in sorted(bad.items(), key=lambda x: (-x[1], x[0]))]
+    pool = list(dict.fromkeys(w for t, _ in sorted(bad.items(), key=lambda x: (-x[1], x[0])) for w in windows(t)))
     if not pool:
         return flat
     rng = np.random.default_rng(2)
@@ -196,34 +292,76 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     positives = sorted(good)
     gapped = [c.join(t) for t in positives for c in ".*"]  # the same with inserted characters
     model = flat
-    for _ in range(3):
+    for again in (True, True, False):
         x = mapped([*positives, *gapped, "", *clean])
         y = np.r_[np.ones(len(positives) + len(gapped)), -np.ones(len(clean) + 1)]
         weight = np.where(y > 0, max(1.0, len(clean) / (len(positives) + len(gapped)) / 4), 1.0)
         weight[len(positives) + len(gapped)] = len(clean)  # what has no triples is clean
         w = machine(x, y, weight)
         triples = basis.T.astype(np.float64) @ (to_features @ w[:-1])
-        value = Strings.times(pool, triples) + w[-1]
         model = Model(triples, float(w[-1]), flat.curve)
-        wrong = np.argsort(-value)[:400]
-        clean = list(dict.fromkeys([*clean, *(pool[i] for i in wrong if value[i] > -1)]))
+        if again:
+            value = Strings.times(pool, triples) + w[-1]
+            wrong = [(value[i], pool[i]) for i in np.argsort(-value)[:WRONG_STRINGS] if value[i] > -1]
+            # runs of clean sentences count like words
+            runs = {s: v for part in _parts([text for text, label in rows if not label]) for found in model.runs(part, -0.25) for s, v in found.items() if not any(t in s for t in positives)}
+            wrong += sorted(((v, s) for s, v in runs.items()), reverse=True)[:WRONG_STRINGS]
+            clean = list(dict.fromkeys([*clean, *(s for _, s in wrong)]))
     known: dict[str, float] = {}
     table_ = []
-    for _, found in sentences:
+    all_runs = (r for part in _parts([text for text, _ in rows]) for r in model.runs(part))
+    for (_, found), runs in zip(sentences, all_runs, strict=True):
         all_ = set().union(*found)
         new = [t for t in all_ if t not in known]
         known.update(zip(new, model.strings(new).tolist(), strict=True))
-        table_.append(model.features([known[t] for t in all_]))
+        table_.append(model.features([known[t] for t in all_], runs))
     return model._replace(curve=logistic(np.array(table_), np.array([label for label, _ in sentences], float)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts with crc32(doc_id) mod 5 <> 0, the first by a hash of doc_id, as a whole."""
-    told = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(held_out("doc_id") == F.lit(False))
-    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def _parts(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
+    """The texts, some at a time."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held > size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _pairs(rows: list[tuple[str, int]], witness: set[str], fold: Callable[[str], str]) -> tuple[Counter, Counter]:
+    """In how many clean and toxic rows two neighbouring words stand, as one string; those that three toxic rows have at least."""
+
+    def of(text: str) -> set[str]:
+        out = set()
+        for sentence in _SENTENCE.split(text):
+            words = list(map(fold, sentence.split()))
+            out.update(a + b for a, b in zip(words, words[1:]) if a and b and len(a + b) <= RUN_LETTERS and a not in witness and b not in witness)
+        return out
+
+    toxic = Counter(t for text, label in rows if label for t in of(text))
+    toxic = Counter({t: n for t, n in toxic.items() if n >= 3})
+    return Counter(t for text, label in rows if not label for t in of(text) if t in toxic), toxic
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> list[tuple[str, int]]:
+    """Labelled texts with crc32(doc_id) mod 5 <> 0, each as a whole: the first by a hash of doc_id, `rows` rows and
+    `most` bytes at most. Of rows that repeat an id and a text one is taken."""
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(held_out("doc_id") == F.lit(False))
     # broadcast: two numbers for each of `rows` rows at most
-    got = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(told), "doc_id")
-    return [(r.text, r.toxic) for r in sorted(got.select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text))]
+    told = F.broadcast(told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
+    sizes = texts.join(told, "doc_id").select("doc_id", "toxic", "own", F.octet_length("text").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(rows).collect()
+    taken, held = [], 0
+    for r in sizes:
+        if held + r.n <= most:
+            held += r.n
+            taken.append((r.doc_id, r.own, r.toxic))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, own long, toxic int"))
+    got = texts.join(chosen, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).collect()
+    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
 
 
 def held_out(doc_id: str):
@@ -233,37 +371,30 @@ def held_out(doc_id: str):
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score, the probability that label 1 fits the whole text; one row for each row of docs.
 
-    Null is an empty text; it gets the score of a text without words. Nothing but text is looked at.
+    Null is an empty text; it gets the score of a text without words, as does one of blanks. Nothing but text is looked
+    at, so repeated rows get one score and a null doc_id means nothing; texts of any length are taken as a whole. A table
+    without rows gives none. Columns may have any names; a kept one can't be called score.
     """
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    if "score" in keep:
+        raise ValueError("a column to keep has the name of the result")
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = rows.select("row").withColumn("score", F.lit(0.0)).schema
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            scores: list[float] = []
-            run_: list[set[str]] = []
-            held = 0
-
-            def close() -> None:
+            for part in text_slices(batch):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                found = [tokens(t) for t in texts]
                 if len(known) > CACHE:
                     known.clear()
-                new = list(set().union(*run_).difference(known))
-                for a in range(0, len(new), 50_000):
-                    known.update(zip(new[a : a + 50_000], model.strings(new[a : a + 50_000]).tolist(), strict=True))
-                scores.extend(model.probability([model.features(list(map(known.__getitem__, t))) for t in run_]).tolist())
-                run_.clear()
-
-            for text in batch.column(batch.num_columns - 1):
-                text = text.as_py() or ""
-                run_.append(tokens(text))
-                held += len(text)
-                if held > SOME_CHARS:
-                    close()
-                    held = 0
-            close()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
-
-    return docs.select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+                new = list(set().union(*found).difference(known))
+                known.update(zip(new, model.strings(new).tolist(), strict=True))
+                features = [model.features(list(map(known.__getitem__, t)), r) for t, r in zip(found, model.runs(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.probability(features), pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(run, schema).select("row.*", "score")
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> Model:

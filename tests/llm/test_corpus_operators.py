@@ -87,6 +87,27 @@ def test_packing_round_trip(spark):
     assert padding < 0.1 * total  # three partitions, so three ends
 
 
+def test_packing_odd_tables(spark, monkeypatch):
+    assert packing.pack(frame(spark, [(1, "x")]).where("false")).collect() == []
+    rows = [(None, "no id here"), (None, "nor here"), (7, "same row"), (7, "same row"), (7, None)]
+    got = packing.pack(frame(spark, rows).coalesce(1)).collect()
+    size = lambda t: len(packing.encoder().encode(t))
+    assert sorted(str((r.doc_id, r.doc_tokens)) for r in got) == sorted(str((i, size(t))) for i, t in rows) and sum(r.length for r in got) == sum(size(t) for _, t in rows)
+
+
+def test_packing_goes_on_beyond_the_horizon(spark, monkeypatch):
+    """A document of many horizons, planned in parts, is cut as if planned in one go."""
+    rows = [*prose(4, 12, 400), (500, "".join(t for _, t in prose(5, 60, 900))), *((600 + i, t) for i, t in prose(6, 12, 400))]
+    made = []
+    for horizon in (2048, 1 << 40):
+        monkeypatch.setattr(packing, "HORIZON", horizon)
+        stream, out = packing.Stream(packing.encoder(), 0, packing.SIZE), []
+        for i, t in rows:
+            out += stream.add([(i, stream.encoder.encode(t))])
+        made.append(out + list(stream.close()))
+    assert made[0] == made[1] and max(r[4] for r in made[0]) > 8 * 2048
+
+
 def test_packing_plan_is_the_cheapest():
     rng = random.Random(3)
     for _ in range(60):
@@ -100,7 +121,11 @@ def test_packing_plan_is_the_cheapest():
         for j in range(1, len(cuts)):  # powers of two below 32 are not looked for
             spans = [(i, cuts[j] - cuts[i]) for i in range(j) if cuts[j] - cuts[i] <= size]
             best[j] = min(best[i] + (pad(n) if n >= 32 else size - n) for i, n in spans) + packing.SEQUENCE + prices[j]
-        found = packing.plan(cuts, prices, size)
+        plan = packing.Plan(size)
+        plan.extend(np.array(cuts[1:5]), np.array(prices[1:5]))
+        found = plan.settled()
+        plan.extend(np.array(cuts[5:]), np.array(prices[5:]))
+        found += plan.finish()
         cost, at = 0, 0
         for c in found:
             n = c - at
@@ -209,6 +234,48 @@ def test_training_takes_whole_texts(spark):
     assert got and all(x == (long, 1) for x in got)
 
 
+def plain_value(model, string):
+    """The machine's value of a string, an occurrence of a triple at a time."""
+    count = collections.Counter()
+    code = ["abcdefghijklmnopqrstuvwxyz".find(c.lower()) if c.isascii() else -1 for c in string]
+    for a in range(len(code)):
+        for b in range(a + 1, len(code)):
+            for c in range(b + 1, min(len(code), a + toxicity.SPAN)):
+                if min(code[a], code[b], code[c]) >= 0:
+                    count[(code[a] * 26 + code[b]) * 26 + code[c]] += toxicity.DECAY ** (c - a + 1)
+    norm = sum(w * w for w in count.values()) ** 0.5
+    return sum(w * model.triples[t] for t, w in count.items()) / norm + model.bias if norm else model.bias
+
+
+def plain_score(model, text):
+    text = text or ""
+    values = [max(plain_value(model, w) for w in toxicity.windows(t)) for t in toxicity.tokens(text)]
+    runs = {}
+    for sentence in re.split(r"[.!?]+(?=[ \t\n])|\n", text):
+        words = [w for w in (re.sub("[^A-Za-z]", "", t).lower() for t in re.split(r"[ \t\n\r\x0b\x0c]+", sentence)) if w]
+        for a in range(len(words)):
+            for n in range(2, toxicity.RUN_WORDS + 1):
+                joined = "".join(words[a : a + n])
+                if a + n <= len(words) and 2 < len(joined) <= toxicity.RUN_LETTERS and (v := plain_value(model, joined)) > 0:
+                    runs[joined] = v
+    top = sorted([max(-1.0, v) for v in [*values, *runs.values(), -1.0, -1.0]], reverse=True)[:2]
+    z = np.array([*top, np.log1p(sum(v > 0 for v in values) + len(runs)), 1.0]) @ model.curve
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    rows, labels = toxic_corpus(160)
+    model = toxicity.fit([(t, dict(labels)[i]) for i, t in rows])
+    told = [*rows[:30], *ODD, (7000, "s n a r f"), (7001, "you snar ffle. Blib ber"), (7002, "s.n.a.r.f.f.l.e and\nmore"), (None, "no id"), (7003, "sn arf! fle")]
+    got = {(r.doc_id, r.score) for r in toxicity.score(frame(spark, told), model).collect()}
+    plain = {(i, plain_score(model, t)) for i, t in told}
+    near = lambda x: sorted((str(i), round(float(v), 6)) for i, v in x)
+    assert near(got) == near(plain)
+    assert toxicity.score(frame(spark, told).where("false"), model).collect() == []
+    with pytest.raises(ValueError):
+        toxicity.score(frame(spark, told).withColumnRenamed("size", "score"), model, ("score",))
+
+
 def test_kernel_is_the_gap_weighted_one():
     def weights(s):
         out = collections.Counter()
@@ -355,25 +422,41 @@ def test_sharding(spark):
 
 
 # ---- 8 sentence spans
-def test_sentence_spans(spark):
-    rng = random.Random(8)
-    passage = " ".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=9)) + "." for _ in range(4))
-    rows = [(i, t + f" End{i}. " + (passage if i % 9 == 3 else "")) for i, t in prose(8, 30)] + [*ODD, (6000, passage), (6001, passage), (6001, passage)]
-    got = {r.doc_id: r for r in spans.dedup(frame(spark, rows)).collect()}
+def spans_cut(rows, words=spans.WORDS, lone=spans.LONE):
+    """Pieces of each text, and the numbers of those that go."""
+    parts = {i: [x for x in re.findall(spans.SENTENCE, t or "") if x] for i, t in rows}
     seen, gone = {}, collections.defaultdict(set)
-    parts = {i: [s for s in (x.strip(" ") for x in re.findall(spans.SENTENCE, t or "")) if s] for i, t in rows}
     for i in sorted(parts):
-        for k in range(len(parts[i])):
-            for n in (1, 2):
-                span = tuple(parts[i][k : k + n])
-                words = sum(len(WORD.findall(s)) for s in span)
-                if len(span) == n and words >= (spans.RUN_WORDS if n == 2 else spans.LONE_WORDS):
-                    if seen.setdefault((n, span), (i, k)) != (i, k):
-                        gone[i].update(range(k, k + n))
-    for i in parts:
-        assert got[i].n_sentences == len(parts[i]) and got[i].n_removed == len(gone[i])
-        assert got[i].kept == "\n".join(s for k, s in enumerate(parts[i]) if k not in gone[i])
-    assert got[6000].n_removed == 4 and got[3].n_removed == 0 and got[12].n_removed == 4
+        keys = [x.strip(" \t\n\x0b\x0c\r") for x in parts[i]]
+        count = [len(WORD.findall(k)) for k in keys]
+        found = set()
+        for k in range(len(keys)):
+            found |= {(k, n) for n in range(spans.RUN, len(keys) - k + 1) if sum(count[k : k + n]) >= words and (n == spans.RUN or sum(count[k : k + n - 1]) < words)}
+            found |= {(k + 1 - n, n) for n in range(spans.RUN, k + 2) if sum(count[k + 1 - n : k + 1]) >= words and (n == spans.RUN or sum(count[k + 2 - n : k + 1]) < words)}
+            if lone and count[k] >= lone:
+                found.add((k, 1))
+        for k, n in sorted(found):
+            if seen.setdefault(tuple(keys[k : k + n]), (i, k)) != (i, k):
+                gone[i].update(range(k, k + n))
+    return parts, gone
+
+
+@pytest.mark.parametrize("words,lone", [(12, 40), (0, 0), (5, 6)])
+def test_sentence_spans(spark, words, lone):
+    rng = random.Random(8)
+    passage = " ".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=9)) + "." for _ in range(4))
+    short = "".join(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=4)) + rng.choice([".\n", "! ", "... "]) for _ in range(13))  # 52 words in short sentences
+    rows = [(i, t + f" End{i}. " + (passage if i % 9 == 3 else "") + (f"{i} more.\n\n{short}After {i}" if i % 7 == 2 else "")) for i, t in prose(8, 30)]
+    rows += [*ODD, (6000, passage), (6001, passage), (6001, passage), (6002, "...lead. Same line  here? \n\n3.14 is\nall."), (6003, "\n\n .x"), (6004, f"  {short}"), (6005, "é. " * 40)]
+    got = {r.doc_id: r for r in spans.dedup(frame(spark, rows), words, lone).collect()}
+    parts, gone = spans_cut(rows, words, lone)
+    for i, t in dict(rows).items():
+        assert got[i].n_sentences == (len(parts[i]) if (t or "").strip(" \t\n") else 0) and got[i].n_removed == len(gone[i]), i
+        assert got[i].kept == "".join(x for k, x in enumerate(parts[i]) if k not in gone[i])
+    if words == 12:
+        assert got[6000].n_removed == 4 and got[3].n_removed == 0 and got[12].n_removed == 4 and got[2].n_removed == 0 and got[9].n_removed >= 12
+    assert all(got[i].kept == (t or "") for i, t in rows if not got[i].n_removed)
+    assert spans.dedup(frame(spark, rows).where("false")).collect() == []
 
 
 def test_sentence_spans_where_rows_share_an_id(spark):
@@ -381,7 +464,7 @@ def test_sentence_spans_where_rows_share_an_id(spark):
     a, b, c = (f"{said(n)} {said(n + 1)}" for n in (0, 10, 20))
     rows = [(1, a), (1, b), (2, f"{a} {said(50)}"), (None, c), (None, f"{said(60)} {said(61)} {c}"), (None, f"{c} {said(70)}"), (3, c), (3, c)]
     got = spans.dedup(frame(spark, rows)).collect()
-    kept = collections.Counter(s for r in got for s in r.kept.split("\n") if s)
+    kept = collections.Counter(s.strip() for r in got for s in re.findall(spans.SENTENCE, r.kept) if s)
     assert len(got) == len(rows) and kept == collections.Counter(said(n) for n in (0, 1, 10, 11, 20, 21, 50, 60, 61, 70))
 
 
@@ -409,8 +492,11 @@ def test_substrings(spark, monkeypatch):
         rows.append((i, rng.choice(["", "q" * rng.randrange(5)]) + source[a : a + rng.randrange(60, 500)] + rng.choice(["", "z"]) + source[c : c + rng.randrange(90, 140)]))
     rows += [(100 + n, t) for n, t in enumerate(["a" * 99, "a" * 100, "a" * 101, "ab" * 300, "abc" * 77, "a" * 70 + "b" + "a" * 400, ("x" * 40 + "y") * 30, source + source])]
     rows += ODD
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(frame(spark, [*rows, rows[5]])).collect()}
-    assert got == cut(rows)
+    for batches, hot, some in ((1, 4096, 4096), (2, 3, 16), (5, 4096, 7)):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "SOME", some)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(frame(spark, [*rows, rows[5]]), batches).collect()}
+        assert got == cut(rows)
     assert substrings.dedup(frame(spark, rows).where("false")).collect() == []
 
 
@@ -427,13 +513,14 @@ def test_substrings_where_rows_share_an_id(spark):
     assert sorted(x[1:] for x in got if x[0] is not None) == sorted([(550, 400), (500, 0), (5, 0), (550, 400), (450, 300)])
 
 
-def test_family_merges_levels():
-    family, rng = substrings.Family(), np.random.default_rng(2)
-    for n in range(64):
-        key = rng.integers(0, 1 << 62, 100).astype(np.uint64)
-        place = np.full(100, n)
-        family.add(key, place, place, np.arange(100), np.zeros(100, bool))
-    assert len(family.levels) <= 8 and sum(len(x[0]) for x in family.levels) == 6400
+def test_family_merges_levels(spark):
+    family = substrings.Family()
+    for n in range(5):
+        rows = [(100 * n + i, "".join(random.Random(i if i % 3 else 1000 * n + i).choices("abcdefgh", k=300))) for i in range(12)]
+        found = family.add(substrings.keyed(frame(spark, rows))).select("doc").distinct().count()
+        assert found == (8 if n else 0)  # of later batches, what came before
+    assert [m for m, _ in family.levels] == [level.count() for _, level in family.levels] and len(family.levels) <= 3
+    assert sum(m for m, _ in family.levels) == family.levels[0][1].unionAll(family.levels[-1][1] if len(family.levels) > 1 else family.levels[0][1].limit(0)).count() or len(family.levels) == 3
 
 
 # ---- 10 mixing
