@@ -256,19 +256,20 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     rate = (toxic + 0.5) / (len(rows) + 1) if rows else 0.01
     flat = Model(np.zeros(LETTERS**3), -1.0, np.array([0, 0, 0, np.log(rate / (1 - rate))]))
     fold = functools.lru_cache(1 << 16)(_letters)
-    seen, copies = {0: Counter(), 1: Counter()}, set()
-    for (text, _), (label, found) in zip(rows, sentences, strict=True):
+    seen, copies, single = {0: Counter(), 1: Counter()}, set(), []
+    for (text, label), (_, found) in zip(rows, sentences, strict=True):
         all_, row = {fold(t) for s in found for t in s}, text.split()
         # of near copies, which share their smallest hash of three words as a rule, one is counted
         if (mark := (label, min((zlib.crc32(" ".join(x).encode()) for x in zip(row, row[1:], row[2:])), default=0))) not in copies:
             copies.add(mark)
             seen[label].update(all_)
+            single.append((text, label))
     toxic, clean_ = (sum(m[0] == label for m in copies) for label in (1, 0))
     odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((seen[0][t] + 0.5) / (clean_ + 1)) for t, n in seen[1].items() if len(t) >= 3 and n >= 3}
     # twenty times likelier in a toxic document, also if it had come a standard deviation less often
     telling = lambda t: odds[t] + np.log(1 - seen[1][t] ** -0.5) > 3 or (odds[t] > 3 and seen[1][t] >= 5 and seen[0][t] == 0)
     witness = {t for t in odds if telling(t)}
-    both = _pairs(rows, witness, fold)
+    both = _pairs(single, witness, fold)
     seen[0].update(both[0])
     seen[1].update(both[1])
     odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((seen[0][t] + 0.5) / (clean_ + 1)) for t, n in both[1].items() if t not in odds}
@@ -332,7 +333,7 @@ def _parts(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
 
 
 def _pairs(rows: list[tuple[str, int]], witness: set[str], fold: Callable[[str], str]) -> tuple[Counter, Counter]:
-    """In how many clean and toxic rows two neighbouring words stand, as one string; those that three toxic rows have at least."""
+    """In how many clean and toxic rows two neighbouring words stand, as one string; those that eight toxic rows have at least (there are many pairs)."""
 
     def of(text: str) -> set[str]:
         out = set()
@@ -342,7 +343,7 @@ def _pairs(rows: list[tuple[str, int]], witness: set[str], fold: Callable[[str],
         return out
 
     toxic = Counter(t for text, label in rows if label for t in of(text))
-    toxic = Counter({t: n for t, n in toxic.items() if n >= 3})
+    toxic = Counter({t: n for t, n in toxic.items() if n >= 8})
     return Counter(t for text, label in rows if not label for t in of(text) if t in toxic), toxic
 
 
