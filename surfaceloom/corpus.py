@@ -92,7 +92,7 @@ http://e.example.com/a.css
 http://e.example.com/a.PNG?x=1
 http://e.example.com/a.png/
 http://e.example.com/x.woff2
-http://e.example.com/fit.txt5%5E1918
+http://e.example.com/notes.md7%5E2044
 http://e.example.com/fit.txtFoo
 http://e.example.com/a.txt-b
 http://e.example.com/web.config
@@ -225,7 +225,7 @@ https://s<u>.example.com/x/Ref-<t>-ab<e>12345
 
 def _pieces(shape: str, cast: str) -> str:
     """A shape as an SQL expression."""
-    holes = {"<u>": f"CAST(user_id % 23 AS {cast})", "<e>": f"CAST(event_id % 37 AS {cast})", "<t>": "event_type"}
+    holes = {"<u>": f"CAST(user_id AS {cast})", "<e>": f"CAST(event_id AS {cast})", "<t>": "event_type"}
     return "concat(" + ", ".join(holes.get(p) or f"'{p}'" for p in re.split("(<[uet]>)", shape) if p) + ")"
 
 

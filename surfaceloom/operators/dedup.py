@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfaceloom.functions.query import tagged
@@ -13,26 +13,29 @@ from surfaceloom.shipping import ship
 
 
 def first_arrivals(df: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Of the rows with a signature the one that came first. A signature has one base: rows dealt by base stay where they are."""
-    by_sig = Window.partitionBy("base", "sig").orderBy(ord_col)
-    return df.withColumn("n_", F.row_number().over(by_sig)).where("n_ = 1").drop("n_")
+    """Of the rows with a signature the one that came first. Each task sends one row of a signature at most."""
+    rest = [c for c in df.columns if c not in ("base", "sig")]
+    firsts = df.groupBy("base", "sig").agg(F.min_by(F.struct(*rest), ord_col).alias("first_"))
+    return firsts.select(*(c if c in ("base", "sig") else F.col("first_")[c].alias(c) for c in df.columns))
 
 
 def decorated(df: DataFrame) -> DataFrame:
     """df with decorated: whether a signature of the same base has more than the base."""
-    return df.withColumn("decorated", F.max(F.col("sig") != F.col("base")).over(Window.partitionBy("base")))
+    more = df.groupBy("base").agg(F.max(F.col("sig") != F.col("base")).alias("decorated"))
+    return df.join(more, "base").select(*df.columns, "decorated")
 
 
 def fold_bare(df: DataFrame) -> DataFrame:
-    """Bare rows with a decorated sibling go."""
-    return decorated(df).where((F.col("sig") != F.col("base")) | ~F.col("decorated")).drop("decorated")
+    """Bare rows with a decorated sibling go: those whose signature is the base of another one."""
+    more = df.where(F.col("sig") != F.col("base")).select(F.col("base").alias("sig")).distinct()
+    return df.join(more, "sig", "left_anti").select(*df.columns)
 
 
-def covered(df: DataFrame) -> DataFrame:
-    """sig of every row whose key multiset is a proper part of another's in its group.
+def covering_pairs(df: DataFrame) -> DataFrame:
+    """sub and sup: signatures of one group of which the first one's key multiset is a proper part of the second one's.
 
     A set that covers another holds all its keys, the rarest of the group too. So each set asks by its rarest key alone,
-    and is held only against the sets that have it.
+    and is held only against the sets that have it. Equal sets of a group are one signature.
     """
     sets = df.where(F.col("grp").isNotNull()).select("sig", "grp", tagged(F.col("keys")).alias("set"))
     each = sets.select("sig", "grp", "set", F.explode("set").alias("key"))
@@ -41,7 +44,12 @@ def covered(df: DataFrame) -> DataFrame:
     # a set whose rarest key nobody else has is covered by nothing
     asks = asks.where("rarest.n is not null").select("sig", "grp", "set", F.col("rarest.key").alias("key"))
     wider = F.expr("size(w.set) > size(a.set) and size(array_except(a.set, w.set)) = 0")
-    return asks.alias("a").join(each.select("grp", "key", "set").alias("w"), ["grp", "key"]).where(wider).select("a.sig").distinct()
+    return asks.alias("a").join(each.select("sig", "grp", "key", "set").alias("w"), ["grp", "key"]).where(wider).select(F.col("a.sig").alias("sub"), F.col("w.sig").alias("sup"))
+
+
+def covered(df: DataFrame) -> DataFrame:
+    """sig of every row whose key multiset is a proper part of another's in its group."""
+    return covering_pairs(df).select(F.col("sub").alias("sig")).distinct()
 
 
 def merge_covered(df: DataFrame) -> DataFrame:
@@ -115,10 +123,10 @@ def dedup(df: DataFrame, line: str = "line", ord_col: str = "ord", options: Surf
     rows = keyed(df.where(F.octet_length(line) > 0), line, options).select(ord_col, "sig", "base", "grp", "keys", "out")
     if not options.merging:
         return first_arrivals(rows, ord_col).select(ord_col, "out")
-    # One shuffle by base serves the first arrivals, the folding of bare rows and both sides of the merge: what either side
-    # needs besides travels in one column, so that both ask for the same columns and the exchange is reused.
+    # What the branches need besides travels in one column, so that all ask for the same columns and the exchange of the
+    # first arrivals is reused.
     load = F.concat(F.array("out", "grp"), F.coalesce("keys", F.array().cast("array<string>")))
-    rows = fold_bare(first_arrivals(rows.select(ord_col, "sig", "base", load.alias("load")).repartition("base"), ord_col))
+    rows = fold_bare(first_arrivals(rows.select(ord_col, "sig", "base", load.alias("load")), ord_col))
     rows = rows.select(ord_col, "sig", F.get("load", F.lit(0)).alias("out"), F.get("load", F.lit(1)).alias("grp"), F.slice("load", 3, F.size("load")).alias("keys"))
     rows = merge_capped(rows, options.merge_cap, ord_col) if options.merge_cap else merge_covered(rows)
     return rows.select(ord_col, "out")

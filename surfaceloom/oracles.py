@@ -392,13 +392,16 @@ def oracles() -> dict[str, str]:
     plain = stages()
     chain = ", ".join([CORPUS, PARSED, *plain])
     pages = "corpus AS (SELECT page_id AS ord, url AS line FROM pages WHERE url <> '')"
-    both = "corpus AS (SELECT page_id AS ord, url AS line FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT 1000000000000 + page_id, url FROM pages WHERE page_id % 3 = 1)"
+    both = CORPUS.replace("corpus AS", "all_urls AS") + ", corpus AS (SELECT page_id AS ord, url AS line FROM pages WHERE url <> '' UNION ALL SELECT 10000000000000 + ord, line FROM all_urls)"
+    html = "(SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages)"
     out |= {
         "s1_lines": "SELECT page_id, unnest(range(0, len(l)))::INTEGER AS n, unnest(l) AS line FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)",
         "s2_carriage_returns": "SELECT page_id, url AS line FROM pages",
-        "s3_records": "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)) WHERE n % 3 <> 0 AND rtrim(line, chr(13)) <> '' GROUP BY page_id",
-        "s5_union": only(f"SELECT (ord // 1000000000000)::BIGINT AS source, (ord % 1000000000000)::BIGINT AS ord, out FROM ({kept(SurfaceOptions())})", both),
+        "s3_records": f"SELECT page_id, count(*) AS n FROM {html} WHERE rtrim(line, chr(13)) <> '' GROUP BY page_id",
+        "s4_files": f"SELECT source, line, count(*) AS n FROM (SELECT 0::BIGINT AS source, url AS line FROM pages UNION ALL SELECT 1, rtrim(line, chr(13)) FROM {html}) WHERE line <> '' GROUP BY source, line",
+        "s5_union": only(f"SELECT (ord // 10000000000000)::BIGINT AS source, (ord % 10000000000000)::BIGINT AS ord, out FROM ({kept(SurfaceOptions())})", both),
         "s7_stream_first_seen": f"WITH RECURSIVE {pages}, {PARSED}, {keyed(SurfaceOptions(keep_invalid=True))}, {FIRST} SELECT ord, out FROM firsts",
+        "s8_ordered_sink": over(f"SELECT row_number() OVER (ORDER BY ord) AS place, out FROM ({kept(SurfaceOptions())})", *plain),
         "s9_stats": over(f"SELECT (SELECT count(*) FROM corpus) AS n_in, count(*) AS n_out FROM ({kept(SurfaceOptions())})", *plain),
         "s10_table_source": only(kept(SurfaceOptions()), pages),
         "q9_signatures": over("SELECT ord, sig, base, grp FROM based", *plain),
@@ -407,7 +410,7 @@ def oracles() -> dict[str, str]:
         "a3_decorated": over("SELECT ord, base, decorated FROM decorated", *plain),
         "j1_fold_bare": over("SELECT ord, sig FROM folded", *plain),
         "j2_merge_covered": over("SELECT ord, sig FROM firsts WHERE sig NOT IN (SELECT sig FROM covered)", *plain),
-        "j3_covering_pairs": over("SELECT sig FROM covered", *plain),
+        "j3_covering_pairs": over("SELECT a.sig AS sub, b.sig AS sup FROM tagged AS a JOIN tagged AS b ON a.grp = b.grp AND len(b.keys) > len(a.keys) AND list_has_all(b.tags, a.tags)", *plain),
         "j4_set_sizes": over("SELECT grp, len(keys)::BIGINT AS size, count(*) AS n FROM firsts WHERE grp IS NOT NULL GROUP BY 1, 2", *plain),
         "j5_no_merge": over("SELECT ord, out FROM folded", *plain),
         "o1_ordered": over(f"{kept(SurfaceOptions())} ORDER BY ord", *plain),

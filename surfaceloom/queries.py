@@ -151,18 +151,45 @@ def s2_carriage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines count: carriage returns alone don't."""
-    made = s1_lines(spark, sf_dir).withColumn("line", F.when(c("n") % 3 == 0, F.lit("\r\r")).otherwise(c("line")))
+    """How many lines count: carriage returns alone, which follow every line here, don't."""
+    made = s1_lines(spark, sf_dir)
+    made = made.select("page_id", F.explode(F.array("line", F.lit("\r\r"))).alias("line"))
     return lines.records(made).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+def s4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines out of two sources of text files: the URLs with carriage returns, and the pages' texts; how often each comes."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages.select(F.concat("url", F.repeat(F.lit("\r"), (c("page_id") % 3).cast("int")))).write.text(f"{folder}/urls")
+    pages.select("html").write.text(f"{folder}/texts")
+    return lines.read_lines(spark, f"{folder}/urls", f"{folder}/texts").groupBy(c("source").cast("long").alias("source"), "line").agg(F.count("*").alias("n"))
+
+
 def s5_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources; the first one's lines come first."""
+    """Two sources, the pages and all URLs; the first one's lines come first."""
     one = lines.read_table(spark, f"{sf_dir}/pages.parquet", "url", "page_id")
-    rows = lines.union(one.where("ord % 2 = 1"), one.where("ord % 3 = 1"))
+    rows = lines.union(one, lines.records(urls(spark, sf_dir)))
     return ops.dedup(rows).select(c("ord.source").cast("long").alias("source"), c("ord.ord").alias("ord"), "out")
 
 
+def s8_ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a deduplication writes as text files in order, read again: every line's place."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    folder = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    lines.write_lines(ops.dedup(urls(spark, sf_dir)), folder)
+    rows = lines.read_lines(spark, folder).select("ord.*", "line").toDF("source", "file", "block", "id", "out")
+    part = ["file", "block"]
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("n"))  # a row for each block of a file
+    before = sizes.select(*part, (F.sum("n").over(Window.orderBy(*part)) - c("n")).alias("before"))
+    return rows.join(before, part).select((c("before") + F.row_number().over(Window.partitionBy(*part).orderBy("id"))).alias("place"), "out")
+
+
 def s7_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the pages table, deduplicated on sight into a table."""
     import uuid
@@ -213,8 +240,8 @@ def j2_merge_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j3_covering_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signatures that another one covers."""
-    return ops.covered(ops.first_arrivals(_keyed(spark, sf_dir)))
+    """The signatures that another one covers, each with every one that does."""
+    return ops.covering_pairs(ops.first_arrivals(_keyed(spark, sf_dir)))
 
 
 def j4_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +288,7 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for many, run in ((FIELD_COLUMNS, _fields), (SEGMENT_COLUMNS, _segments), (TOKEN_COLUMNS, _tokens), (TEMPLATES, _templates), (OPTIONS, _dedup)):
         out |= {name if many is not OPTIONS else name.replace("default", "dedup"): partial(run, name) for name in many}
-    for f in (s1_lines, s2_carriage_returns, s3_records, s5_union, s7_stream_first_seen, s9_stats, s10_table_source, q9_signatures, a1_first_arrivals, a2_counts, a3_decorated):
+    for f in (s1_lines, s2_carriage_returns, s3_records, s4_files, s5_union, s7_stream_first_seen, s8_ordered_sink, s9_stats, s10_table_source, q9_signatures, a1_first_arrivals, a2_counts, a3_decorated):
         out[f.__name__] = f
     for f in (j1_fold_bare, j2_merge_covered, j3_covering_pairs, j4_set_sizes, j5_capped_merge, j5_no_merge, o1_ordered, u2_fresh, w1_arrival_rank, e1_output, e2_raw_output):
         out[f.__name__] = f

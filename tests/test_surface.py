@@ -119,4 +119,6 @@ def test_streams(spark, tmp_path):
 def test_plan_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(0, H)], "ord long, line string")
     plan = dedup(df)._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.index("partial_min_by"), plan.index("Exchange")
+    assert before > after  # of each signature a task sends one row: the plan is told from its end
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
