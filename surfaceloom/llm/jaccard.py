@@ -105,8 +105,12 @@ def signatures(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.n
     return np.concatenate(all_signs), np.concatenate(all_rows)
 
 
-def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class (a hash of the set) and signatures, the last once for a class and task."""
+def classes(docs: DataFrame, n: int, num: int, den: int, signed: bool) -> DataFrame:
+    """doc_id, n_shingles and class (a hash of the set) of every row; signed: class and signs, once for a class and task.
+
+    Signatures are made in a pass of their own, as they are much more than the rest and needed once.
+    """
+    names = ["class", "signs"] if signed else ["doc_id", "n_shingles", "class"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
@@ -119,6 +123,9 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if len(full):
                     sums[full] = np.add.reduceat(mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)), at[:-1][full])
                 own = mix(sums + size.astype(np.uint64)).view(np.int64)
+                if not signed:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own)], names)
+                    continue
                 new = np.zeros(len(size), bool)
                 for i, c in zip(full.tolist(), own[full].tolist(), strict=True):
                     if c not in seen:
@@ -131,9 +138,9 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 signs, row = signatures(tokens[take], at_new, levels)
                 order = np.argsort(row, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(signs[order].view(np.int64)))], ["doc_id", "n_shingles", "class", "signs"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(signs[order].view(np.int64)))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_shingles long, class long, signs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "class long, signs array<long>" if signed else "doc_id long, n_shingles long, class long")
 
 
 def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -242,10 +249,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     whatever their names, are ignored. The links themselves are not listed: of those within a block the ones that join
     something are kept, which gives the same components.
     """
-    base = settle(classes(docs, n, num, den), "classes")
+    base = settle(classes(docs, n, num, den, False), "classes")
     by_sign = Window.partitionBy("sign")
     shared = settle(
-        base.where(F.size("signs") > 0)
+        classes(docs, n, num, den, True)
         .select("class", F.explode("signs").alias("sign"))
         .withColumns({"low": F.min("class").over(by_sign), "high": F.max("class").over(by_sign)})
         .where("low < high")
