@@ -10,14 +10,22 @@ from surfaceloom.llm.common import numbered, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on this table's labels, calls toxic go."""
+    """Documents that the classifier, trained on this table's labels, calls toxic go.
+
+    Null, empty and very long texts are scored as they are, repeated rows alike; clean rows stay whatever else they hold,
+    null ids too. Extra columns stay, whatever their names. An empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     # a row stands in one column, so that no name of its own can clash
     return toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model, ("row",)).where("score < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that shingles of five words link at 0.8 or more, one with the smallest doc_id stays (none comes last)."""
+    """Of rows that shingles of five words link at 0.8 or more, one with the smallest doc_id stays (none comes last).
+
+    Repeated rows are such rows. Null, empty and blank texts link with nothing and stay, each of them; very long texts are
+    compared as a whole. Ties go to the smaller hash of the text. Extra columns stay. An empty table stays empty.
+    """
     rows = numbered(docs)
     linked = jaccard.join(rows.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
     first = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
@@ -26,17 +34,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is blanked; the documents stay."""
+    """Every secret found is blanked; the documents stay, repeated ones and those without id, text or words too.
+
+    Very long texts are scanned as a whole; extra columns stay; an empty table stays empty.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document's text becomes the words that the mix takes of it, repeats included."""
+    """A document's text becomes the words that the mix takes of it, repeats included.
+
+    Every row takes its own words, repeated ones and those without an id too; a null source is a source. Rows without words
+    stay as they are. Extra columns stay. An empty table stays empty.
+    """
     return mixing.remix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences; null and empty texts have an end id alone. An empty table has none."""
     return packing.pack(docs)
 
 
@@ -53,6 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all sequences that the stages make of documents, each stage's rows written and read again. Odd
+    rows and tables fare as the stages say.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
