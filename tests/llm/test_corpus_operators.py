@@ -326,6 +326,21 @@ def test_secrets(spark):
     assert {s.split(":")[0] for s in next(r.spans for r in made if r.doc_id == 6).split(",")} >= {"url_login", "jwt", "private_key"}
 
 
+def test_long_runs_are_read_once():
+    import time
+
+    text = "http://h/ " + "ab+c-9" * 170_000 + " 1https://u:p@x " + "eyJabcdefgh1" * 80_000 + ".eyJabcdefgh2.eyJabcdefgh3.sig"
+    began = time.thread_time()
+    found = {r.kind: secrets.spans_of(r, text) for r in secrets.RULES if r.front}
+    assert time.thread_time() - began < 5
+    assert [text[a:b] for a, b in found["url_login"]] == ["https://u:p@"] and [text[b - 4 : b] for _, b in found["jwt"]] == ["fgh3"]
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choices(["://", "eyJ", "abcdefghij", ".", ":", "@", "a", "7", "-", " ", "/"], k=rng.randrange(14)))
+        for rule in (r for r in secrets.RULES if r.front and any(h in text.lower() for h in r.hints)):
+            assert secrets.spans_of(rule, text) == [m.span() for m in re.finditer(rule.pattern, text, rule.flags)], text
+
+
 def test_secret_ledger_is_incremental(spark):
     one, two = frame(spark, SECRETS[:3]), frame(spark, [*SECRETS[:4], (99, SECRETS[0][1])])
     ledger = secrets.scan(one, None, secrets.BASE)
