@@ -140,7 +140,8 @@ class Mix:
             .withColumn("from", F.greatest(F.col("start"), F.col("block") * b))
             .withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b))
         )
-        return parts.join(times, ["idx", "block"], "left").select("doc_id", "idx", "size", "start", *self.number, "block", "from", "to", F.coalesce("times", F.lit(0)).alias("times"))
+        # a merge: times grows with the words, and its size is not known before it is made
+        return parts.join(times.hint("merge"), ["idx", "block"], "left").select("doc_id", "idx", "size", "start", *self.number, "block", "from", "to", F.coalesce("times", F.lit(0)).alias("times"))
 
     def taken(self) -> DataFrame:
         """doc_id, idx, size, start, taken."""
