@@ -12,7 +12,10 @@ enough; opened groups are compared exactly. What keeps the matrix sparse:
 * Groups. A class joins the pivot with which it shares most signatures (a bucket's pivot is its smallest class).
 * Queries. First each class is held against its pivot, which links most copies. After that only classes in buckets that
   hold other components are queries, and they ask only groups with such members with which they share as many signatures
-  as two similar sets have to; groups are cut into blocks of bounded size.
+  as two similar sets have to.
+* The matrix. The union of tokens of each group that is asked is a stored table of (group, token). Queries are joined to
+  it by token, which bounds their overlap with any member; texts are moved for the groups that qualify alone, and these
+  are cut into blocks of bounded size.
 
 A bucket or group of any size costs rows in proportion to it: no pairs of its members are ever listed.
 """
@@ -239,6 +242,49 @@ def blocks(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFram
     return side(members, 0, "cuts", "copies").unionAll(side(queries, 1, "copies", "cuts")).join(texts.hint("merge"), "class")
 
 
+def shingled(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """rows (grp, class) with a row for each shingle of the class: token, 32 bits of the shingle's hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                tokens, at = sets(part.column("text"), n)
+                short = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("grp"), part.column("class"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(short))], ["grp", "class", "tokens"])
+
+    found = rows.join(texts.hint("merge"), "class").select("grp", "class", "text").mapInArrow(lean(run), "grp long, class long, tokens array<int>")
+    return found.select("grp", "class", F.explode("tokens").alias("token"))
+
+
+def qualifying(members: DataFrame, queries: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of queries (grp, class, n) whose overlap with the group's union of tokens allows a member that is similar.
+
+    members: grp, class, n. The unions are stored as a table. It holds 32 bits of a token; tokens that fall together make
+    an overlap larger, so no group is closed wrongly. A group that many ask stands in copies, each for a bounded share of
+    the queries.
+    """
+    matrix = settle(shingled(members, texts, n).select("grp", "token").distinct(), "matrix")
+    shape = (
+        members.groupBy("grp")
+        .agg(F.min("n").alias("least"))
+        .join(queries.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("copies")), "grp")
+    )
+    rows = matrix.join(shape, "grp").select("grp", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    overlap = (
+        shingled(queries, texts, n)
+        .join(shape.select("grp", "copies"), "grp")
+        .select("grp", "class", "token", F.pmod(F.xxhash64("class"), F.col("copies")).alias("copy"))
+        .join(rows.hint("merge"), ["grp", "copy", "token"])
+        .groupBy("grp", "class")
+        .agg(F.count("*").alias("overlap"))
+    )
+    least = F.greatest("least", F.ceil(F.col("n") * num / den))
+    found = queries.join(shape, "grp").join(overlap, ["grp", "class"]).where(F.col("overlap") * (num + den) >= num * (F.col("n") + least)).select("grp", "class")
+    found = settle(found, "qualifying")
+    forget(matrix)
+    return found
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links, for each row of docs.
 
@@ -302,14 +348,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         .agg(F.count("*").alias("common"), F.first("q.n").alias("n"))
         .join(F.broadcast(level_table), "level")
         .where(F.col("common") >= needed)
-        .select("grp", "class")
+        .select("grp", "class", "n")
         .distinct()
     )
     asks = settle(asks, "asks")
     forget(shared, mixed)
-    more = settle(opened(blocks(known.join(asks.select("grp").distinct(), "grp").select("grp", "class", "n"), asks, texts), n, num, den), "links")
+    of = lambda queries: known.join(queries.select("grp").distinct(), "grp").select("grp", "class", "n")
+    open_ = qualifying(of(asks), asks, texts, n, num, den)
+    more = settle(opened(blocks(of(open_), open_, texts), n, num, den), "links")
     roots = components(first.unionAll(more)).withColumnRenamed("node", "class")
-    forget(texts, nodes, known, asks, first, more)
+    forget(texts, nodes, known, asks, open_, first, more)
     found = base.select("doc_id", "n_shingles", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     found = found.where("n_shingles > 0")
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

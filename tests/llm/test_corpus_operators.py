@@ -401,6 +401,22 @@ def test_jaccard_empty(spark):
     assert jaccard.join(frame(spark, [(1, "a")]).where("false")).collect() == []
 
 
+def test_only_groups_whose_union_allows_it_are_opened(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_QUERIES", 2)
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = spark.createDataFrame([(1, words(0, 40)), (2, words(30, 70)), (3, words(2, 42)), (4, words(50, 90)), (5, words(5, 75))], "class long, text string")
+    members = spark.createDataFrame([(7, 1, 40), (7, 2, 40), (8, 4, 40)], "grp long, class long, n long")
+    queries = spark.createDataFrame([(7, 3, 40), (7, 4, 40), (7, 5, 70), (8, 3, 40), (8, 2, 40), (8, 4, 40)], "grp long, class long, n long")
+    union, want = {7: set(range(70)), 8: set(range(50, 90))}, set()
+    ranges = {2: range(30, 70), 3: range(2, 42), 4: range(50, 90), 5: range(5, 75)}
+    for grp, own, size in [tuple(r) for r in queries.collect()]:
+        least = max(40, -(-80 * size // 100))
+        if len(union[grp] & set(ranges[own])) * 180 >= 80 * (size + least):
+            want.add((grp, own))
+    assert want == {(7, 3), (7, 5), (8, 4)}
+    assert {tuple(r) for r in jaccard.qualifying(members, queries, texts, 1, 80, 100).collect()} == want
+
+
 def test_no_similar_pair_lacks_a_signature():
     levels, rng = jaccard.Levels(80, 100), np.random.default_rng(4)
     for size in (6, 7, 9, 15, 40, 133, 500):
