@@ -243,17 +243,18 @@ def blocks(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFram
 
 
 def shingled(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """rows (grp, class) with a row for each shingle of the class: token, 32 bits of the shingle's hash."""
+    """rows (grp, class, share) with a row for each shingle of the class: token, 32 bits of the shingle's hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 tokens, at = sets(part.column("text"), n)
                 short = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("grp"), part.column("class"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(short))], ["grp", "class", "tokens"])
+                held = [part.column(c) for c in ("grp", "class", "share")]
+                yield pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(at.astype(np.int32), pa.array(short))], ["grp", "class", "share", "tokens"])
 
-    found = rows.join(texts.hint("merge"), "class").select("grp", "class", "text").mapInArrow(lean(run), "grp long, class long, tokens array<int>")
-    return found.select("grp", "class", F.explode("tokens").alias("token"))
+    found = rows.join(texts.hint("merge"), "class").select("grp", "class", "share", "text").mapInArrow(lean(run), "grp long, class long, share long, tokens array<int>")
+    return found.select("grp", "class", "share", F.explode("tokens").alias("token"))
 
 
 def qualifying(members: DataFrame, queries: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -261,26 +262,27 @@ def qualifying(members: DataFrame, queries: DataFrame, texts: DataFrame, n: int,
 
     members: grp, class, n. The unions are stored as a table. It holds 32 bits of a token; tokens that fall together make
     an overlap larger, so no group is closed wrongly. A group that many ask stands in copies, each for a bounded share of
-    the queries.
+    the queries. Rows of tokens are dealt by their token too, so a large group's are no one task's.
     """
-    matrix = settle(shingled(members, texts, n).select("grp", "token").distinct(), "matrix")
     shape = (
         members.groupBy("grp")
         .agg(F.min("n").alias("least"))
         .join(queries.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("copies")), "grp")
     )
-    rows = matrix.join(shape, "grp").select("grp", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # what a group's tokens need of its shape goes with its classes
+    known = members.join(shape, "grp").select("grp", "class", F.col("copies").alias("share"))
+    matrix = settle(shingled(known, texts, n).groupBy("grp", "token").agg(F.max("share").alias("copies")), "matrix")
+    rows = matrix.select("grp", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("share"))
+    asked = queries.join(shape, "grp").withColumn("share", F.pmod(F.xxhash64("class"), F.col("copies")))
     overlap = (
-        shingled(queries, texts, n)
-        .join(shape.select("grp", "copies"), "grp")
-        .select("grp", "class", "token", F.pmod(F.xxhash64("class"), F.col("copies")).alias("copy"))
-        .join(rows.hint("merge"), ["grp", "copy", "token"])
+        shingled(asked.select("grp", "class", "share"), texts, n)
+        .join(rows.hint("merge"), ["grp", "share", "token"])
         .groupBy("grp", "class")
         .agg(F.count("*").alias("overlap"))
     )
     least = F.greatest("least", F.ceil(F.col("n") * num / den))
-    found = queries.join(shape, "grp").join(overlap, ["grp", "class"]).where(F.col("overlap") * (num + den) >= num * (F.col("n") + least)).select("grp", "class")
-    found = settle(found, "qualifying")
+    found = asked.join(overlap, ["grp", "class"]).where(F.col("overlap") * (num + den) >= num * (F.col("n") + least))
+    found = settle(found.select("grp", "class"), "qualifying")
     forget(matrix)
     return found
 
