@@ -19,11 +19,21 @@ from surfaceloom.shipping import shared_dir, ship
 SLICE_BYTES = 1 << 19
 #: Spark then removes a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on the bytes of a batch sent to Python, and the bound that these operators ask for: a batch is held by the
+#: executor and by the worker, and its default of 64 MB is more than what the operators themselves hold.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _settled: dict[str, list[str]] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Sends the package to the workers and bounds the bytes of a batch for them; a smaller bound of the session stays."""
     ship(spark)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)) <= BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,7 +43,7 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     The table stays until forget() or release(): what reads it is lazy.
     """
     spark = df.sparkSession
-    ship(spark)
+    ready(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema, before = df.schema, spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

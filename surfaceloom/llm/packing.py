@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import lean, table, text_slices
+from surfaceloom.llm.common import lean, ready, table, text_slices
 
 SIZE = 1024
 #: Prices in tokens of padding: for a sequence, and for a cut after a document, after a sentence and inside one.
@@ -217,6 +217,7 @@ def pack(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) -> Da
     often as they occur; very long texts are cut like any other; an empty table gives none. Other columns, whatever their
     names, are ignored.
     """
+    ready(docs.sparkSession)
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

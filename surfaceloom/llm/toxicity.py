@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfaceloom.llm.common import lean, table, text_slices
+from surfaceloom.llm.common import lean, ready, table, text_slices
 
 DECAY, SPAN, WINDOW, STRIDE = 0.7, 9, 24, 12
 LETTERS = 26
@@ -378,6 +378,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """
     if "score" in keep:
         raise ValueError("a column to keep has the name of the result")
+    ready(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     schema = rows.select("row").withColumn("score", F.lit(0.0)).schema
 
