@@ -403,6 +403,7 @@ def test_jaccard_empty(spark):
 
 def test_only_groups_whose_union_allows_it_are_opened(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(jaccard, "SLICE", 1)
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     texts = spark.createDataFrame([(1, words(0, 40)), (2, words(30, 70)), (3, words(2, 42)), (4, words(50, 90)), (5, words(5, 75))], "class long, text string")
     members = spark.createDataFrame([(7, 1, 40), (7, 2, 40), (8, 4, 40)], "grp long, class long, n long")
@@ -415,6 +416,8 @@ def test_only_groups_whose_union_allows_it_are_opened(spark, monkeypatch):
             want.add((grp, own))
     assert want == {(7, 3), (7, 5), (8, 4)}
     assert {tuple(r) for r in jaccard.qualifying(members, queries, texts, 1, 80, 100).collect()} == want
+    monkeypatch.setattr(jaccard, "SLICE", 4)  # a wider bound closes no more
+    assert want <= {tuple(r) for r in jaccard.qualifying(members, queries, texts, 1, 80, 100).collect()}
 
 
 def test_no_similar_pair_lacks_a_signature():
