@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surfaceloom.llm import jaccard, mixing, packing, secrets, toxicity
-from surfaceloom.llm.common import numbered, settle, table
+from surfaceloom.llm.common import settle, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +26,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Repeated rows are such rows. Null, empty and blank texts link with nothing and stay, each of them; very long texts are
     compared as a whole. Ties go to the smaller hash of the text. Extra columns stay. An empty table stays empty.
     """
-    rows = numbered(docs)
-    linked = jaccard.join(rows.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
-    first = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
-    heads = rows.select("number", first.alias("first")).join(linked, "number").groupBy("group").agg(F.min("first").alias("first")).select("first.number")
-    return rows.join(heads, "number", "left_semi").select("row.*")
+    docs = stored(docs, "rows")
+    # a row stands in one column, so that no name of its own can clash
+    rows = jaccard.marked(docs, F.struct("*").alias("row"))
+    found = jaccard.grouped(rows.drop("row"), 5, 80, 100)
+    heads = found.where("n_shingles > 0").groupBy("root").agg(F.min(jaccard.first_row()).alias("first")).select("first.doc_id", "first.mark", F.lit(True).alias("one"))
+    stay = heads.unionAll(found.where("n_shingles = 0").select("doc_id", "mark", F.lit(False)).distinct())
+    keys = ["none", "id", "mark"]
+    keyed = lambda df, *more: df.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "mark", *more)
+    # repeated rows share the keys: the join has them together already
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("row").cast("string"))))
+    return keyed(rows, "row").join(keyed(stay, "one").hint("merge"), keys).withColumn("nth", nth).where("not one or nth = 1").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

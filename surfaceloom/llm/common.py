@@ -94,6 +94,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df where it's a table in files as it stands, so that it can be read again and again; else it is settled."""
+    plan = df._jdf.queryExecution().analyzed()
+    files = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return df if files else settle(df, name)
+
+
 def text_key() -> Column:
     """A hash that tells rows with one doc_id, or without any, apart by their texts; repeated rows share it."""
     return F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"))
@@ -112,6 +119,36 @@ def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.
         yield batch.slice(start)
 
 
+def packed_texts(text: pa.Array) -> pa.Array:
+    """Each text's bytes, compressed, behind their number (8 bytes, little-endian). Null is empty."""
+    raw = [b"" if x is None else x for x in text.cast(pa.binary()).to_pylist()]
+    return pa.array([len(x).to_bytes(8, "little") + _codec().compress(x, asbytes=True) for x in raw], pa.binary())
+
+
+def unpacked_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """text_slices() of a batch whose column `text` is packed, with the texts' bytes in it; a column of strings is taken as it is."""
+    at = batch.schema.get_field_index("text")
+    if not pa.types.is_binary(batch.schema.field(at).type):
+        yield from text_slices(batch, limit)
+        return
+    start, raw, total = 0, [], 0
+    for i, x in enumerate(batch.column(at)):
+        x = x.as_buffer()
+        size = int.from_bytes(x[:8], "little")
+        if total and total + size > limit:
+            yield batch.slice(start, i - start).set_column(at, "text", pa.array(raw, pa.binary()))
+            start, raw, total = i, [], 0
+        raw.append(_codec().decompress(x[8:], size, asbytes=True) if size else b"")
+        total += size
+    if raw:
+        yield batch.slice(start).set_column(at, "text", pa.array(raw, pa.binary()))
+
+
+@functools.cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
 def joined_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows after one another, and where each row starts (one more for the end). Null is empty."""
     raw = [b"" if x is None else x for x in text.cast(pa.binary()).to_pylist()]

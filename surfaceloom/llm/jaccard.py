@@ -12,13 +12,14 @@ enough; opened groups are compared exactly. What keeps the matrix sparse:
 * Groups. A class joins the pivot with which it shares most signatures (a bucket's pivot is its smallest class).
 * Queries. First each class is held against its pivot, which links most copies. After that only classes in buckets that
   hold other components are queries, and they ask only groups with such members with which they share as many signatures
-  as two similar sets have to.
+  as two similar sets have to. Such groups are looked up in a query's smallest buckets, so many that one has to be shared.
 * The matrix. The union of tokens of each group that is asked is a stored table of (group, token), over a fixed slice of
   the token space. Queries are joined to it by token: what a query has in the slice and the union has not is missing from
   every member, which bounds the overlap with any. Texts are moved for the groups that qualify alone, and these are cut
   into blocks of bounded size.
 
-A bucket or group of any size costs rows in proportion to it: no pairs of its members are ever listed.
+A group of any size costs rows in proportion to it: no pairs of its members are ever listed. A bucket lists the groups for
+those queries alone that have no smaller ones to look them up in.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from surfaceloom.llm.common import components, forget, lean, mix, settle, table, text_slices
+from surfaceloom.llm.common import components, forget, lean, mix, packed_texts, settle, table, text_slices, unpacked_slices
 from surfaceloom.llm.shingles import sets
 
 #: Tokens of a block of a group, and queries that one copy of a block answers.
@@ -113,12 +115,19 @@ def signatures(tokens: np.ndarray, at: np.ndarray, levels: Levels) -> tuple[np.n
     return np.concatenate(all_signs), np.concatenate(all_rows)
 
 
+def marked(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id, mark (a hash of the text; both tell rows apart that aren't repeated), text and more."""
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"), *more)
+
+
 def classes(docs: DataFrame, n: int, num: int, den: int, signed: bool) -> DataFrame:
-    """doc_id, n_shingles and class (a hash of the set) of every row; signed: class and signs, once for a class and task.
+    """doc_id, mark, n_shingles and class (a hash of the set) of every row; signed: class and signs, once for a class and task.
 
-    Signatures are made in a pass of their own, as they are much more than the rest and needed once.
+    docs: doc_id, mark, text, as marked() makes them. Signatures are made in a pass of their own, as they are much more than
+    the rest and needed once.
     """
-    names = ["class", "signs"] if signed else ["doc_id", "n_shingles", "class"]
+    names = ["class", "signs"] if signed else ["doc_id", "mark", "n_shingles", "class"]
+    given = T.StructType([*docs.select("doc_id", "mark").schema, T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
@@ -132,7 +141,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int, signed: bool) -> DataFr
                     sums[full] = np.add.reduceat(mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)), at[:-1][full])
                 own = mix(sums + size.astype(np.uint64)).view(np.int64)
                 if not signed:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(own)], names)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(size), pa.array(own)], names)
                     continue
                 new = np.zeros(len(size), bool)
                 for i, c in zip(full.tolist(), own[full].tolist(), strict=True):
@@ -148,14 +157,14 @@ def classes(docs: DataFrame, n: int, num: int, den: int, signed: bool) -> DataFr
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(signs[order].view(np.int64)))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "class long, signs array<long>" if signed else "doc_id long, n_shingles long, class long")
+    return docs.select("doc_id", "mark", "text").mapInArrow(lean(run), "class long, signs array<long>" if signed else given)
 
 
 def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between the queries and the members of each block: u, v.
 
-    rows: grp, block, query (0: member, 1: query), class, text. Of the links within a block those that join something
-    are returned, which is as good for components.
+    rows: grp, block, query (0: member, 1: query), class, text (as it is, or packed). Of the links within a block those that
+    join something are returned, which is as good for components.
     """
 
     class Block:
@@ -206,7 +215,7 @@ def opened(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         block = Block(None)
         for batch in batches:
             us, vs = [], []
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 tokens, at = sets(part.column("text"), n)
                 cols = [part.column(i).to_pylist() for i in range(4)]
                 for i, (g, b, query, own) in enumerate(zip(*cols, strict=True)):
@@ -252,7 +261,7 @@ def shingled(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 tokens, at = sets(part.column("text"), n)
                 inside = tokens % np.uint64(SLICE) == 0
                 at = np.append(0, np.cumsum(inside))[at]
@@ -295,6 +304,62 @@ def qualifying(members: DataFrame, queries: DataFrame, texts: DataFrame, n: int,
     return found
 
 
+def inside(mixed: DataFrame) -> DataFrame:
+    """The groups of each bucket, with the least and the greatest component of their members there."""
+    return mixed.groupBy("sign", "grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members"))
+
+
+def candidates(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Groups that classes may have to ask: grp, class, level, n and needed, the signatures that they have to share.
+
+    mixed: sign, class, n, root, grp, members (of the group) and held (rows of the bucket), of buckets with more than one
+    component. Two sets that are similar enough differ in so few parts that they share `needed` signatures of the level of
+    the smaller one; so many has a query to share with a group. Of a query's m signatures in mixed buckets, one at least of
+    any m - needed + 1 is then shared. The ones with the smallest buckets are looked up, so a bucket of what many texts have
+    in common lists no pairs for those that would need others too.
+    """
+    levels = Levels(num, den)  # 256 rows at most
+    level_rows = [(i, int(k - 2 * w), int(levels.bounds[i + 1]), int(levels.bounds[i + 2])) for i, (k, w) in enumerate(zip(levels.parts, levels.spare, strict=True))]
+    level_table = mixed.sparkSession.createDataFrame(level_rows, "level int, parts long, middle long, top long")
+    # the other's size at most: at a set's own level any, at the one below the sizes of that level's lower half
+    other = F.when(F.col("n") < F.col("middle"), F.least(F.floor(F.col("n") * den / num), F.col("top") - 1)).otherwise(F.col("middle") - 1)
+    needed = F.greatest(F.lit(1), F.col("parts") - F.floor((F.col("n") + other) * (den - num) / (den + num)))
+    by_level = Window.partitionBy("class", "level")
+    rarest = (
+        mixed.withColumn("level", level_of("sign"))
+        .withColumns({"m": F.count("*").over(by_level), "nth": F.row_number().over(by_level.orderBy("held", "sign"))})
+        .join(F.broadcast(level_table), "level")
+        .withColumn("needed", needed)
+        .where("nth <= m - needed + 1")
+    )
+    return (
+        rarest.alias("q").join(inside(mixed).alias("g"), "sign")
+        # the smaller group asks the larger; and there is a member of another component
+        .where("(q.members < g.members or (q.members = g.members and q.grp <= g.grp)) and (q.root <> g.low or q.root <> g.high)")
+        .select(F.col("g.grp").alias("grp"), F.col("q.class").alias("class"), "level", "n", "needed")
+        .distinct()
+    )
+
+
+def shared_enough(pairs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """grp, class and n of the candidates that share as many signatures as they have to."""
+    signs = mixed.select("class", level_of("sign").alias("level"), "sign", "root")
+    counted = (
+        pairs.where("needed > 1")
+        .join(signs.hint("merge"), ["class", "level"])
+        .join(inside(mixed).hint("merge"), ["sign", "grp"])
+        .where("root <> low or root <> high")
+        .groupBy("grp", "class", "level")
+        .agg(F.count("*").alias("common"), F.first("needed").alias("needed"), F.first("n").alias("n"))
+        .where("common >= needed")
+    )
+    return pairs.where("needed = 1").select("grp", "class", "n").unionAll(counted.select("grp", "class", "n")).distinct()
+
+
+def level_of(sign: str) -> Column:
+    return F.col(sign).bitwiseAND(255).cast("int")
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links, for each row of docs.
 
@@ -305,6 +370,20 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     whatever their names, are ignored. The links themselves are not listed: of those within a block the ones that join
     something are kept, which gives the same components.
     """
+    found = grouped(marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), n, num, den)
+    full = found.where("n_shingles > 0")
+    smallest = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return full.join(smallest, "root").select("doc_id", "n_shingles", "component_id").unionAll(
+        found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    )
+
+
+def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, mark, n_shingles and root, a number for its component, of each row of docs; without shingles root says nothing.
+
+    docs: doc_id of any type, mark and text, as marked() makes them. They are read several times and aren't stored; the
+    texts of classes that share a signature are, packed.
+    """
     base = settle(classes(docs, n, num, den, False), "classes")
     by_sign = Window.partitionBy("sign")
     shared = settle(
@@ -317,12 +396,13 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     )
     pivots = shared.where("class <> low").distinct().groupBy("class", "low").agg(F.count("*").alias("shared"))
     pivots = pivots.groupBy("class").agg(F.max_by("low", F.struct("shared", "low")).alias("pivot"))
-    sized = base.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    nodes = settle(shared.select("class").distinct().join(pivots, "class", "left").join(sized, "class").select("class", F.coalesce("pivot", "class").alias("pivot"), "n", "doc_id"), "nodes")
+    sized = base.where("n_shingles > 0").groupBy("class").agg(F.min(first_row()).alias("first"), F.first("n_shingles").alias("n"))
+    nodes = settle(shared.select("class").distinct().join(pivots, "class", "left").join(sized, "class").select("class", F.coalesce("pivot", "class").alias("pivot"), "n", "first.doc_id", "first.mark"), "nodes")
+    heads = nodes.select(F.col("doc_id").alias("head_id"), F.col("mark").alias("head_mark"), "class").hint("merge")  # the same plan at every size
     texts = settle(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(nodes.select("doc_id", "class").hint("merge"), "doc_id")  # the same plan at every size
-        .mapInArrow(lean(_of_class(n)), "class long, text string"),
+        docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("mark") == F.col("head_mark")))
+        .select("class", "text")
+        .mapInArrow(lean(_of_class(n)), "class long, text binary"),
         "texts",
     )
     heads = nodes.select(F.col("pivot").alias("grp")).distinct()
@@ -337,47 +417,29 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     mixed = (
         shared.select("sign", "class").distinct()
         .join(known.join(weights, "grp"), "class")
-        .withColumns({"low": F.min("root").over(by_sign), "high": F.max("root").over(by_sign)})
+        .withColumns({"low": F.min("root").over(by_sign), "high": F.max("root").over(by_sign), "held": F.count("*").over(by_sign)})
         .where("low < high")
     )
-    mixed = settle(mixed.select("sign", "class", "n", "root", "grp", "members"), "mixed")
-    inside = mixed.groupBy("sign", "grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members"))
-    # Two sets that are similar enough differ in so few parts that they share this many signatures of the level of the
-    # smaller one; so many has a query to share with a group. 256 rows at most.
-    levels = Levels(num, den)
-    level_rows = [(i, int(k - 2 * w), int(levels.bounds[i + 1]), int(levels.bounds[i + 2])) for i, (k, w) in enumerate(zip(levels.parts, levels.spare, strict=True))]
-    level_table = docs.sparkSession.createDataFrame(level_rows, "level int, parts long, middle long, top long")
-    # the other's size at most: at a set's own level any, at the one below the sizes of that level's lower half
-    other = F.when(F.col("n") < F.col("middle"), F.least(F.floor(F.col("n") * den / num), F.col("top") - 1)).otherwise(F.col("middle") - 1)
-    needed = F.greatest(F.lit(1), F.col("parts") - F.floor((F.col("n") + other) * (den - num) / (den + num)))
-    asks = (
-        mixed.alias("q").join(inside.alias("g"), "sign")
-        # the smaller group asks the larger; and there is a member of another component
-        .where("(q.members < g.members or (q.members = g.members and q.grp <= g.grp)) and (q.root <> g.low or q.root <> g.high)")
-        .groupBy(F.col("g.grp").alias("grp"), F.col("q.class").alias("class"), F.col("sign").bitwiseAND(255).cast("int").alias("level"))
-        .agg(F.count("*").alias("common"), F.first("q.n").alias("n"))
-        .join(F.broadcast(level_table), "level")
-        .where(F.col("common") >= needed)
-        .select("grp", "class", "n")
-        .distinct()
-    )
-    asks = settle(asks, "asks")
-    forget(shared, mixed)
+    mixed = settle(mixed.select("sign", "class", "n", "root", "grp", "members", "held"), "mixed")
+    forget(shared)
+    pairs = settle(candidates(mixed, num, den), "pairs")
+    asks = settle(shared_enough(pairs, mixed), "asks")
+    forget(mixed, pairs)
     of = lambda queries: known.join(queries.select("grp").distinct(), "grp").select("grp", "class", "n")
     open_ = qualifying(of(asks), asks, texts, n, num, den)
     more = settle(opened(blocks(of(open_), open_, texts), n, num, den), "links")
     roots = components(first.unionAll(more)).withColumnRenamed("node", "class")
     forget(texts, nodes, known, asks, open_, first, more)
-    found = base.select("doc_id", "n_shingles", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    found = found.where("n_shingles > 0")
-    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(smallest, "root").select("doc_id", "n_shingles", "component_id").unionAll(
-        base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    )
+    return base.join(roots, "class", "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "class").alias("root"))
+
+
+def first_row() -> Column:
+    """Orders rows: the smallest doc_id comes first, none last; ties go to the smaller mark."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
 
 
 def _of_class(n: int):
-    """Keeps, of rows (doc_id, text, class), those whose text is of the class: a repeated doc_id can have others. One each."""
+    """Keeps, of rows (class, text), those whose text is of the class: others can have its id and mark. One each, packed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: set[int] = set()
@@ -397,7 +459,8 @@ def _of_class(n: int):
                     keep.append(ok and c not in last)
                     if keep[-1]:
                         last.add(c)
-                yield part.select(["class", "text"]).filter(pa.array(keep, pa.bool_()))
+                part = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("class"), packed_texts(part.column("text"))], ["class", "text"])
 
     return run
 

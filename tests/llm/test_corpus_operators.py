@@ -401,6 +401,31 @@ def test_jaccard_empty(spark):
     assert jaccard.join(frame(spark, [(1, "a")]).where("false")).collect() == []
 
 
+def test_jaccard_links_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(words)), (None, " ".join(words[:54])), (9, " ".join(words[:48]))]
+    got = jaccard.join(frame(spark, rows), 4, 85, 100).collect()  # 7 and 9 are linked by the row between them alone
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 7), (7, 7), (9, 7)]
+
+
+def test_a_bucket_of_many_lists_no_pairs_that_need_more(spark):
+    levels = jaccard.Levels(80, 100)
+    level = next(i for i, k in enumerate(levels.parts) if k >= 9)
+    n = int(levels.bounds[level])
+    other = min(n * 100 // 80, int(levels.bounds[level + 2]) - 1)
+    needed = int(levels.parts[level] - 2 * levels.spare[level]) - (n + other) * 20 // 180
+    assert needed >= 2
+    sign = lambda i: i << 8 | level
+    # 40 texts hold one signature all together, and each two of them as many more as they need, the last two one less
+    held = [(sign(1), c, 40) for c in range(40)] + [(sign(100 + c // 2 * 50 + i), c, 2) for c in range(40) for i in range(needed - (c >= 38))]
+    held += [(sign(9000 + i), c, 2) for c in (0, 2) for i in range(needed - 2)]  # with the common one it is one too few
+    mixed = spark.createDataFrame([(s, c, n, c, c, 1, h) for s, c, h in held], "sign long, class long, n long, root long, grp long, members long, held long")
+    pairs = jaccard.candidates(mixed, 80, 100)
+    asks = {(r.grp, r["class"]) for r in jaccard.shared_enough(pairs, mixed).collect()}
+    assert asks == {(c + 1, c) for c in range(0, 40, 2)}  # the last two have the common one to make it up
+    assert pairs.count() <= 22 < 40 * 39 / 2
+
+
 def test_only_groups_whose_union_allows_it_are_opened(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_QUERIES", 2)
     monkeypatch.setattr(jaccard, "SLICE", 1)

@@ -1,11 +1,14 @@
 """The pipeline against a plain version of its stages, and the oracles of the corpus operators."""
 
+import random
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from surfaceloom.llm import common, jaccard
 from surfaceloom.llm.registry import ORACLES, QUERIES
 from tests.llm.test_corpus_operators import WORD, base_spans, linked, unpacked
 
@@ -41,6 +44,40 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(5, a), (5, b), (None, c), (None, ""), (3, None)], "doc_id long, text string").collect()))
 
 
+def test_near_copies_store_packed_texts_alone(spark, tmp_path, monkeypatch):
+    rng, rows = random.Random(9), []
+    vocabulary = [f"palabra{i}" for i in range(300)]
+    for i in range(60):
+        words = rng.choices(vocabulary, k=400)
+        rows += [(4 * i + k, " ".join(words[: 400 - k]), rng.randbytes(2000)) for k in range(4)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, extra binary").write.parquet(path)
+    stored = {}
+
+    def settle(df, name="table"):
+        out = common.settle(df, name)
+        stored[out.settled_at] = sum(p.stat().st_size for p in Path(out.settled_at.removeprefix("file:")).glob("*.parquet"))
+        return out
+
+    for module in (jaccard, corpus_pipeline):
+        monkeypatch.setattr(module, "settle", settle)
+    monkeypatch.setattr(common, "numbered", lambda docs: settle(docs))
+    got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), DIR)
+    assert sorted(r.doc_id for r in got.collect()) == [4 * i for i in range(60)] and got.columns == ["doc_id", "text", "extra"]
+    assert len(stored) > 5  # neither the rows nor the texts as they are
+    assert sum(stored.values()) < 0.6 * sum(len(t) for _, t, _ in rows)
+
+
+def test_packed_texts_are_the_texts():
+    texts = ["", None, "a", "ñ " * 9000, "z" * 2_000_000, "b c", "x" * 400_000, "y" * 300_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), common.packed_texts(pa.array(texts))], ["class", "text"])
+    assert batch.nbytes < 10_000
+    slices = list(common.unpacked_slices(batch))
+    assert [x for s in slices for x in s.column("text").to_pylist()] == [(t or "").encode() for t in texts]
+    assert [x for s in slices for x in s.column("class").to_pylist()] == list(range(9))
+    assert all(s.num_rows == 1 or s.nbytes < 2 * common.SLICE_BYTES for s in slices) and len(slices) > 3
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
